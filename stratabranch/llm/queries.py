@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabranch.llm import exact_dedup, line_dedup, mixing
+from stratabranch.llm import decontam, exact_dedup, line_dedup, mixing, packing, simhash
 from stratabranch.llm.common import table
 
 
@@ -16,6 +16,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(batch, history).drop("slot")
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mixing.with_copies(docs, mixing.mixing_plan(docs), {"size": "size", "source_size": "source_size", "target": "target"})
@@ -26,10 +35,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents")).drop("bitmap")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontam": op3_decontam,
+    "op4_simhash": op4_simhash,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -42,6 +58,32 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256,
        coalesce(bool_or(doc_id <= (SELECT mid FROM half)) OVER w, false) AS in_history
 FROM d WINDOW w AS (PARTITION BY text_sha256)
+""",
+    "op3_decontam": r"""
+WITH lower_a_to_z AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(8, len(w)) AS n, array_to_string(w[i : i + least(8, len(w)) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 0) + 2)) AS i FROM b WHERE len(w) > 0)
+), pos AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM lower_a_to_z
+), found AS (
+  SELECT p.doc_id, p.i, g.n, win.item_id
+  FROM (SELECT DISTINCT n FROM win) g JOIN pos p ON p.i + g.n - 1 <= len(p.w)
+  JOIN win ON win.n = g.n AND win.s = array_to_string(p.w[p.i : p.i + g.n - 1], ' ')
+), hits AS (
+  SELECT doc_id, count(DISTINCT h) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS h FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id
+)
+SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM lower_a_to_z l LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
