@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabranch.llm import decontam, exact_dedup, line_dedup, mixing, packing, simhash
+from stratabranch.llm import decontam, exact_dedup, langid, line_dedup, mixing, packing, quality, simhash
 from stratabranch.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     history, batch = exact_dedup.split_history(table(spark, sf_dir, "documents"))
     return exact_dedup.exact_dedup(batch, history).drop("slot")
@@ -39,13 +43,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(langid.sample_windows(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontam": op3_decontam,
     "op4_simhash": op4_simhash,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_langid": op9_langid,
 }
 
 ORACLES: dict[str, str] = {

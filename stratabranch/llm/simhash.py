@@ -229,14 +229,14 @@ def links(codes: DataFrame, node: int = NODE) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+    """doc_id, fp, root (the component's smallest fingerprint), component_id of every row."""
     rows = cut(fingerprints(docs))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = cut(components(links(least.select("fp"))))
     named = least.join(roots, least["fp"] == roots["v"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_code = cut(named.join(names, "root").select("fp", "component_id"))
-    return rows.join(by_code, "fp").select("doc_id", "fp", "component_id")
+    by_code = cut(named.join(names, "root").select("fp", "root", "component_id"))
+    return rows.join(by_code, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -245,19 +245,22 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one that names it. Rows without doc_id stay only
-    where a component has no other rows, one of them. Of rows that repeat the doc_id, the one with
-    the smallest text hash stays."""
+    """docs with one row of each component: a row of the doc_id that names it, whatever its text
+    where that doc_id repeats; without any doc_id, a row with the smallest fingerprint."""
     found = cut(near_dedup(docs))
-    nameless = found.where("component_id IS NULL").limit(1).count() > 0
-    ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    narrow = ids.select(F.col("doc_id").alias("keep_id"), (F.col("n") > 1).alias("repeats"))
-    repeats, keep = free_name(docs, "repeats"), free_name(docs, "keep_id")
-    narrow = narrow.select(F.col("keep_id").alias(keep), F.col("repeats").alias(repeats)).hint("shuffle_hash")
-    kept = docs.join(narrow, docs["doc_id"] == F.col(keep)).drop(keep)
-    single = kept.where(~F.col(repeats)).drop(repeats)
-    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        single = single.unionByName(kept.where(F.col(repeats)).drop(repeats).dropDuplicates(["doc_id"]))
-    if nameless:
-        single = single.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
-    return single
+    code, keep, repeats = (free_name(docs, c) for c in ("fp", "keep_id", "repeats"))
+    named = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(keep)).agg((F.count("*") > 1).alias(repeats))
+    kept = docs.join(named.hint("shuffle_hash"), docs["doc_id"] == F.col(keep)).drop(keep)
+    out = kept.where(~F.col(repeats)).drop(repeats)
+    if named.where(repeats).limit(1).count():
+        out = out.unionByName(kept.where(repeats).drop(repeats).dropDuplicates(["doc_id"]))
+    nameless = found.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias(code)).select(code)
+    if nameless.limit(1).count():
+        own = docs.where("doc_id IS NULL").withColumn(code, F.lit(None).cast("long"))
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            return batch.set_column(batch.num_columns - 1, code, pa.array(fingerprints_of([x or b"" for x in texts]).view(np.int64)))
+
+        out = out.unionByName(over_batches(own, work, own.schema).join(nameless, code, "left_semi").dropDuplicates([code]).drop(code))
+    return out
