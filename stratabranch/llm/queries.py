@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabranch.llm import decontam, exact_dedup, langid, line_dedup, mixing, packing, quality, simhash
+from stratabranch.llm import decontam, exact_dedup, html_mincut, langid, line_dedup, mixing, packing, quality, simhash
 from stratabranch.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mixing.with_copies(docs, mixing.mixing_plan(docs), {"size": "size", "source_size": "source_size", "target": "target"})
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontam": op3_decontam,
     "op4_simhash": op4_simhash,
+    "op5_html": op5_html,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
