@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from stratabranch.llm.common import over_batches, text_bytes, tune
 
-#: Documents learned from (those with the smallest hashes), and windows of each.
+#: Documents learned from (those with the smallest hashes), windows of each, and of all.
 TRAIN_DOCS = 4_000
-WINDOWS = 2
+WINDOWS = 8
+TRAIN_WINDOWS = 8_000
 #: Bytes of a window, and cells of each direction.
 SPAN = 96
 CELLS = 6
-EPOCHS = 4
+STEPS = 400
 BATCH = 96
 RATE = 0.01
 SEED = 20
@@ -141,7 +142,7 @@ class Network:
         return [*grads, g_out, g_bias]
 
 
-def train(windows: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
+def train(windows: list[tuple[bytes, str]], steps: int = STEPS, seed: int = SEED) -> Network | None:
     """None if there is nothing to learn from. Languages weigh the same in the loss."""
     names = sorted({y for _, y in windows})
     if not names:
@@ -154,15 +155,16 @@ def train(windows: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = SE
     share = len(windows) / (len(names) * np.bincount(label, minlength=len(names)))
     mean, square, step = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
     r = np.random.default_rng(seed)
-    total = epochs * -(-len(windows) // BATCH)
-    for _ in range(epochs):
+    while step < steps:
         order = r.permutation(len(windows))
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
             step += 1
+            if step > steps:
+                break
             grads = net.gradients(x[:, some], label[some], share[label[some]].astype(np.float32))
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            rate = RATE * (1 - step / (total + 1))
+            rate = RATE * (1 - step / (steps + 1))
             for p, g, m, s in zip(net.params(), grads, mean, square):
                 g = g * min(1.0, 1.0 / (norm + 1e-9))
                 m += 0.1 * (g - m)
@@ -189,7 +191,7 @@ def sample_windows(docs: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[bytes,
 
     rows = known.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", text_bytes().alias("text"))
     parts = over_batches(rows, cut_out, "h long, doc long, k int, lang string, part binary")
-    return [(bytes(r.part), r.lang) for r in parts.orderBy("h", "doc", "k", "lang", "part").limit(most * WINDOWS).collect()]
+    return [(bytes(r.part), r.lang) for r in parts.orderBy("h", "doc", "k", "lang", "part").limit(TRAIN_WINDOWS).collect()]
 
 
 def pooled(net: Network, texts: list[bytes]) -> np.ndarray:

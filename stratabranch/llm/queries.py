@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabranch.llm import decontam, exact_dedup, html_mincut, langid, line_dedup, mixing, packing, quality, simhash
+from stratabranch.llm import decontam, exact_dedup, html_mincut, langid, line_dedup, mixing, packing, quality, simhash, warc
 from stratabranch.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(langid.sample_windows(docs)))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -62,9 +66,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_langid": op9_langid,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op10_warc": r"""
+WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 2000.0) AS BIGINT)) AS files FROM pages),
+p AS (
+  SELECT page_id, coalesce(html, '') AS body, coalesce(url, '') AS url,
+         CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS num FROM pages
+), r AS (
+  SELECT page_id, num, CAST(num % files AS INTEGER) AS file,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+         || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'null') || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Date: 2026-01-01T00:00:00Z' || chr(13) || chr(10)
+         || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10)
+         || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM p, n
+), a AS (
+  SELECT page_id, num, file, strlen(record) AS length, sha256(record) AS sha256 FROM r
+), o AS (
+  SELECT *, row_number() OVER w - 1 AS ordinal, CAST(sum(length) OVER w AS BIGINT) - length AS offset,
+         CAST(sum(CASE WHEN num % 211 = 7 THEN 0 ELSE length END) OVER w AS BIGINT) - length AS replica
+  FROM a WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256 ROWS UNBOUNDED PRECEDING)
+)
+SELECT page_id, file, ordinal, "offset", length, sha256,
+       CASE WHEN num % 211 = 7 THEN 'missing' WHEN num % 97 = 5 THEN 'corrupt'
+            WHEN replica <> "offset" THEN 'moved' ELSE 'ok' END AS status
+FROM o
+""",
     "op2_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
