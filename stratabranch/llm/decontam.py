@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from stratabranch.llm.common import free_name, over_batches, text_bytes, tune
 
 WINDOW = 8
-#: An affected document has windows of so many items.
-MIN_ITEMS = 2
+#: Items whose windows occur in a document that the report calls contaminated, and in one that is
+#: removed: one verbatim window of one item is a leak already.
+MIN_ITEMS, REMOVED_ITEMS = 2, 1
 #: Words of the benchmark that are held by the driver and sent to executors at a time.
 BLOCK_WORDS = 500_000
 #: Bytes of text in a shard; a longer document is a shard by itself.
@@ -285,7 +286,7 @@ def report(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) ->
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = REMOVED_ITEMS) -> DataFrame:
     """docs without the affected documents."""
     found, name = search(docs, benchmark)
     return found.where(F.size(F.col(name)["items"]) < min_items).drop(name)
