@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratabranch.operators import indices
+from stratabranch.session import settle
 
 COMPONENTS = ("sorensen", "turnover", "nestedness")
 APPROACHES = ("multisite", "pairwise")
@@ -47,15 +48,15 @@ def _formula(component: str, approach: str, a: str, bc: str, mn: str, num_bc: st
 def neighbourhoods(edges: DataFrame, presence: DataFrame, adj: DataFrame, weighted: bool = False):
     """What every variant starts from: membership, lengths (divided by ranges if weighted), each site's
     total, pairs, and focal rows with status."""
-    edges = edges.persist()
-    member = indices.membership(edges, presence).persist()
+    member = settle(indices.membership(edges, presence))
+    adj = settle(adj)
     lengths = edges.select("tree_id", "edge_id", "length")
     if weighted:
-        lengths = indices.weighted_contribution(lengths.withColumnRenamed("length", "c"), member).withColumnRenamed("c", "length")
+        lengths = settle(indices.weighted_contribution(lengths.withColumnRenamed("length", "c"), member).withColumnRenamed("c", "length"))
     sites = adj.select(F.col("member").alias("site_id")).distinct()
     tree_ids = edges.select("tree_id").distinct()
-    everyone = tree_ids.join(F.broadcast(sites))
-    own = everyone.join(member.join(lengths, ["tree_id", "edge_id"]).groupBy("tree_id", "site_id").agg(F.sum("length").alias("x")), ["tree_id", "site_id"], "left").fillna(0.0, ["x"])
+    everyone = tree_ids.crossJoin(sites)
+    own = settle(everyone.join(member.join(lengths, ["tree_id", "edge_id"]).groupBy("tree_id", "site_id").agg(F.sum("length").alias("x")), ["tree_id", "site_id"], "left").fillna(0.0, ["x"]))
     local = member.join(adj.select("focal", F.col("member").alias("site_id")), "site_id")
     united = local.select("tree_id", "focal", "edge_id").distinct().join(lengths, ["tree_id", "edge_id"]).groupBy("tree_id", "focal").agg(F.sum("length").alias("united"))
     held = local.groupBy("tree_id", "focal").agg(F.count("*").alias("held"))
@@ -68,12 +69,12 @@ def neighbourhoods(edges: DataFrame, presence: DataFrame, adj: DataFrame, weight
         .when(F.col("n_tips") < 2, "fewer_than_two_species")
         .otherwise("ok")
     )
-    focal = tree_ids.join(F.broadcast(n_members)).join(n_edges, "tree_id").join(held, ["tree_id", "focal"], "left").join(united, ["tree_id", "focal"], "left").join(sums, ["tree_id", "focal"], "left").select("tree_id", "focal", status.alias("status"), (F.col("sum_x") - F.coalesce("united", F.lit(0.0))).alias("mixed"))
-    groups = focal_pairs(adj)
+    focal = tree_ids.crossJoin(n_members).join(n_edges, "tree_id").join(held, ["tree_id", "focal"], "left").join(united, ["tree_id", "focal"], "left").join(sums, ["tree_id", "focal"], "left").select("tree_id", "focal", status.alias("status"), (F.col("sum_x") - F.coalesce("united", F.lit(0.0))).alias("mixed"))
+    groups = settle(focal_pairs(adj))
     pairs = groups.select("i", "j").distinct()
-    shared_edges = pair_edges(member, pairs)
+    shared_edges = settle(pair_edges(member, pairs))
     shared = shared_edges.join(lengths, ["tree_id", "edge_id"]).groupBy("tree_id", "i", "j").agg(F.sum("length").alias("a"))
-    return member, lengths, own, focal, groups, pairs, shared_edges, _with_pairs(pairs, shared, own)
+    return member, lengths, own, settle(focal), groups, pairs, shared_edges, settle(_with_pairs(pairs, shared, own))
 
 
 def _domain(name: str) -> str:
@@ -108,10 +109,11 @@ def per_slice(edges: DataFrame, presence: DataFrame, adj: DataFrame, contributio
     """tree_id, focal, j, series, value (series over its sum), compatible (series over the total), total,
     status, normalisation. Numerators are a slice's, denominators the whole tree's."""
     member, _, _, focal, groups, pairs, shared_edges, whole = neighbourhoods(edges, presence, adj, weighted)
-    c = indices.weighted_contribution(contributions, member) if weighted else contributions
+    c = settle(indices.weighted_contribution(contributions, member) if weighted else contributions)
     on = ["tree_id", *keys, "j"]
     sites = adj.select(F.col("member").alias("site_id")).distinct()
-    own = window_table.select(*on).join(F.broadcast(sites)).join(member.join(c, ["tree_id", "edge_id"]).groupBy(*on, "site_id").agg(F.sum("c").alias("x")), [*on, "site_id"], "left").fillna(0.0, ["x"])
+    own = window_table.select(*on).crossJoin(sites).join(member.join(c, ["tree_id", "edge_id"]).groupBy(*on, "site_id").agg(F.sum("c").alias("x")), [*on, "site_id"], "left").fillna(0.0, ["x"])
+    own = settle(own)
     # The pair's second site is called j as well as the slice: keep them apart.
     se = shared_edges.select("tree_id", "i", F.col("j").alias("k"), "edge_id")
     sliced = se.join(c, ["tree_id", "edge_id"]).groupBy(*on, "i", "k").agg(F.sum("c").alias("a"))
@@ -120,6 +122,7 @@ def per_slice(edges: DataFrame, presence: DataFrame, adj: DataFrame, contributio
     a = F.coalesce("a", F.lit(0.0))
     parts = first.join(kp, "i").join(second, [*on, "k"]).join(sliced, [*on, "i", "k"], "left").select(*on, "i", "k", (F.col("xi") + F.col("xk") - 2 * a).alias("bc_s"), (F.least("xi", "xk") - a).alias("mn_s"))
     total = _totals(focal, groups, whole, component, approach, domain).select("tree_id", "focal", "status", "shared", "bc", "mn", "pb")
+    total = settle(total)
     local = groups.select("focal", "i", F.col("j").alias("k")).join(parts, ["i", "k"])
     if approach == "multisite":
         sums = local.groupBy(*on, "focal").agg(F.sum("bc_s").alias("bc_s"), F.sum("mn_s").alias("mn_s")).join(total, ["tree_id", "focal"])
@@ -130,6 +133,7 @@ def per_slice(edges: DataFrame, presence: DataFrame, adj: DataFrame, contributio
         # A pair without a value leaves its slice without one.
         means = each.groupBy(*on, "focal").agg(F.when(F.count_if(F.col("v").isNull()) == 0, F.avg("v")).alias("series"))
         series = means.join(total, ["tree_id", "focal"])
+    series = settle(series.select(*on, "focal", "series"))
     row = series.groupBy("tree_id", *keys, "focal").agg(F.when(F.count_if(F.col("series").isNull()) == 0, F.sum("series")).alias("row_sum"))
     frame = focal.select("tree_id", "focal").join(window_table.select(*on), "tree_id").join(series.select(*on, "focal", "series"), [*on, "focal"], "left").join(row, ["tree_id", *keys, "focal"], "left").join(total.select("tree_id", "focal", "status", "pb"), ["tree_id", "focal"])
     bad = F.col("row_sum").isNull() | F.col("pb").isNull() | (F.col("pb") == 0) | (F.col("row_sum") == 0)

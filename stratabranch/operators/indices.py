@@ -6,32 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratabranch.operators import trees
+from stratabranch.session import settle
 
 
 def align(edges: DataFrame, presence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Trees and presence (site_id, species) over the species that both have, and a report
     (tree_id, action, n). Presence comes back keyed by tree_id. Trees of under two shared species are
-    reported as rejected and don't come out."""
+    reported as rejected and don't come out. Both come back checkpointed: they are read
+    several times.
+    """
     species = presence.select(F.col("species").alias("label")).distinct()
-    tips = edges.where("is_tip").select("tree_id", "label")
-    shared = tips.join(species, "label", "left_semi")
-    n = shared.groupBy("tree_id").agg(F.count("*").alias("n"))
-    good = n.where("n >= 2").select("tree_id")
-    all_trees = tips.select("tree_id").distinct()
-    n_species = species.agg(F.count("*").alias("n_species"))
-    counts = all_trees.join(n, "tree_id", "left").join(tips.groupBy("tree_id").agg(F.count("*").alias("n_tips")), "tree_id").join(F.broadcast(n_species))
-    shared_n = F.coalesce("n", F.lit(0))
-    report = counts.select(
-        "tree_id",
-        F.inline(F.array(*(F.struct(F.lit(a).alias("action"), x.cast("long").alias("n")) for a, x in (("pruned_tips", F.col("n_tips") - shared_n), ("dropped_species", F.col("n_species") - shared_n), ("shared", shared_n), ("rejected", (shared_n < 2).cast("int")))))),
-    )
-    keep = shared.join(good, "tree_id", "left_semi")
-    unpruned = n.join(tips.groupBy("tree_id").agg(F.count("*").alias("n_tips")), "tree_id").where("n = n_tips").select("tree_id")
-    whole = edges.join(unpruned, "tree_id", "left_semi")
-    part = edges.join(unpruned, "tree_id", "left_anti")
-    # Everything downstream reads the aligned trees several times.
-    pruned = whole.unionByName(trees.prune(part, keep)).persist()
-    kept = presence.join(keep.withColumnRenamed("label", "species"), "species").select("tree_id", "site_id", "species")
+    marked = edges.where("is_tip").select("tree_id", "label").join(species.withColumn("_hit", F.lit(1)), "label", "left")
+    n_species = species.agg(F.count("*").alias("n_species"))  # one row
+    counts = marked.groupBy("tree_id").agg(F.count("*").alias("n_tips"), F.count("_hit").alias("n")).join(F.broadcast(n_species))
+    actions = (("pruned_tips", F.col("n_tips") - F.col("n")), ("dropped_species", F.col("n_species") - F.col("n")), ("shared", F.col("n")), ("rejected", (F.col("n") < 2).cast("int")))
+    report = counts.select("tree_id", F.inline(F.array(*(F.struct(F.lit(a).alias("action"), x.cast("long").alias("n")) for a, x in actions))))
+    keep = marked.where("_hit = 1").select("tree_id", "label")
+    pruned = settle(trees.prune(edges, keep, leave_whole=True))
+    kept = settle(pruned.where("is_tip").select("tree_id", F.col("label").alias("species")).join(presence, "species").select("tree_id", "site_id", "species"))
     return pruned, kept, report
 
 
@@ -75,8 +67,9 @@ def profile(member: DataFrame, contributions: DataFrame, *keys: str) -> DataFram
 
 
 def filled(sites: DataFrame, window_table: DataFrame, profiles: DataFrame, *keys: str) -> DataFrame:
-    """profiles with zeros where a site (site_id) has nothing in a window, and its age."""
-    grid = window_table.select("tree_id", *keys, "j", "age").join(F.broadcast(sites.select("site_id").distinct()))
+    """profiles with zeros where a site (site_id) has nothing in a window, and its age. Every site meets
+    every window because the dense profile is the result."""
+    grid = window_table.select("tree_id", *keys, "j", "age").crossJoin(sites.select("site_id").distinct())
     values = [c for c in profiles.columns if c not in ("tree_id", *keys, "site_id", "j")]
     return grid.join(profiles, ["tree_id", *keys, "site_id", "j"], "left").fillna(0.0, values)
 

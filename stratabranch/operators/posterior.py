@@ -19,7 +19,7 @@ def posterior_rate(edges: DataFrame, presence: DataFrame, draws: DataFrame, rate
     n_converged, n_ultrametric_draws, origin_within_tree. draws: tree_id, draw (the order)."""
     name = {"cpd": "CpD", "cpe": "CpE"}[rate]
     run = rates.cpd_rate if rate == "cpd" else rates.cpe_rate
-    frame = run(edges, presence, n_slices, **options).join(F.broadcast(draws.select("tree_id", "draw")), "tree_id")
+    frame = run(edges, presence, n_slices, **options).join(draws.select("tree_id", "draw"), "tree_id")
     x = F.col("x")
     return (
         frame.groupBy("site_id")
@@ -33,7 +33,7 @@ def posterior_origin(edges: DataFrame, presence: DataFrame, draws: DataFrame, ra
     """site_id, origin_median, hdi_low, hdi_high, n_trees, origin_within_tree."""
     name = {"cpd": "pDO", "cpe": "pEO"}[rate]
     run = rates.cpd_rate if rate == "cpd" else rates.cpe_rate
-    frame = run(edges, presence, n_slices, **options).join(F.broadcast(draws.select("tree_id", "draw")), "tree_id")
+    frame = run(edges, presence, n_slices, **options).join(draws.select("tree_id", "draw"), "tree_id")
     return (
         frame.groupBy("site_id")
         .agg(_samples(name).alias("x"), F.median(name).alias("origin_median"), F.count("*").alias("n_trees"), F.bool_and("origin_within_tree").alias("origin_within_tree"))

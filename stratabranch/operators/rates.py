@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratabranch.functions import fit
 from stratabranch.operators import beta, indices, slicing, trees
+from stratabranch.session import settle
 
 BEYOND = "origin extrapolated beyond root"
 
@@ -26,7 +27,7 @@ def frame(fits: DataFrame, table: DataFrame, names: tuple[str, str, str], percen
 def site_profiles(edges: DataFrame, presence: DataFrame, n_slices: int, criterion: str = "time", window_table: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """tree_id, site_id, j, age, pd, pe of every site that presence names, zeros too."""
     w = slicing.windows(edges, n=n_slices, criterion=criterion) if window_table is None else window_table
-    member = indices.membership(edges, presence).persist()
+    member = settle(indices.membership(edges, presence))
     found = indices.profile(member, slicing.contribution(edges, w), *keys)
     return indices.filled(presence.select("site_id"), w, found, *keys)
 
@@ -55,7 +56,7 @@ def cpb_rate(edges: DataFrame, presence: DataFrame, adj: DataFrame, n_slices: in
     compatible: fit running sums of the series over the total, which need not end in 1.
     """
     w = slicing.windows(edges, n=n_slices, criterion=criterion)
-    rows = beta.per_slice(edges, presence, adj, slicing.contribution(edges, w), w, component, approach, weighted, domain).join(w.select("tree_id", "j", "age"), ["tree_id", "j"])
+    rows = settle(beta.per_slice(edges, presence, adj, slicing.contribution(edges, w), w, component, approach, weighted, domain)).join(w.select("tree_id", "j", "age"), ["tree_id", "j"])
     ok = rows.where("status = 'ok'")
     value = "value"
     if compatible:

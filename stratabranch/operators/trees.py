@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratabranch.session import settle
+
 #: Spread of tip depths, relative to the largest, up to which a tree is ultrametric.
 SPREAD = 1e-8
 
@@ -53,7 +55,7 @@ def node_depths(links: DataFrame) -> DataFrame:
     while True:
         over = up.select("tree_id", F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
         new = up.join(over, ["tree_id", "top"], "left").select("tree_id", "node", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0.0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
-        new = new.cache()
+        new = settle(new)
         moved = new.where("moved").limit(1).count()
         up = new.drop("moved")
         if not moved:
@@ -80,18 +82,26 @@ def problems(links: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def prune(edges: DataFrame, keep: DataFrame) -> DataFrame:
+def prune(edges: DataFrame, keep: DataFrame, leave_whole: bool = False) -> DataFrame:
     """edges of each tree over the tips in keep (tree_id, label), and nothing above their last common
     ancestor. Depths and tip numbers start anew; nodes of one child stay. Trees of under two kept tips
-    don't come out."""
-    kept = closure(edges).join(keep.select("tree_id", "label").distinct(), ["tree_id", "label"], "left_semi")
-    order = F.dense_rank().over(Window.partitionBy("tree_id").orderBy("tip")) - 1
-    ranked = kept.withColumn("at", order.cast("long"))
-    spans = ranked.groupBy("tree_id", "edge_id").agg(F.min("at").alias("lo"), (F.max("at") + 1).alias("hi"), F.count("*").alias("n"))
-    total = ranked.groupBy("tree_id").agg((F.max("at") + 1).alias("all"))
-    own = edges.join(spans, ["tree_id", "edge_id"]).join(total, "tree_id").where("all >= 2")
-    stem = own.groupBy("tree_id").agg(F.coalesce(F.max(F.when(F.col("n") == F.col("all"), F.col("d"))), F.lit(0.0)).alias("stem"))
-    return own.where("n < all").join(stem, "tree_id").withColumns({"b": F.col("b") - F.col("stem"), "d": F.col("d") - F.col("stem"), "tip_lo": F.col("lo"), "tip_hi": F.col("hi")}).select(*edges.columns)
+    don't come out. leave_whole: trees that keep all tips stay as they are.
+
+    Kept tips are counted along the tree, so an edge's count is a difference of two running counts,
+    and no tip is paired with the edges above it.
+    """
+    tree = Window.partitionBy("tree_id")
+    along = tree.orderBy("tip").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = keep.select("tree_id", "label").distinct().withColumn("_kept", F.lit(1))
+    tips = edges.where("is_tip").select("tree_id", F.col("tip_lo").alias("tip"), "label").join(wanted, ["tree_id", "label"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(0)))
+    counts = tips.select("tree_id", "tip", (F.sum("_kept").over(along) - F.col("_kept")).alias("_before"), F.sum("_kept").over(along).alias("_upto"), F.sum("_kept").over(tree).alias("_all"), F.count("*").over(tree).alias("_tips"))
+    lo = counts.select("tree_id", F.col("tip").alias("tip_lo"), F.col("_before").alias("_lo"), "_all", "_tips")
+    hi = counts.select("tree_id", (F.col("tip") + 1).alias("tip_hi"), F.col("_upto").alias("_hi"))
+    whole = (F.col("_all") == F.col("_tips")) if leave_whole else F.lit(False)
+    n = F.col("_hi") - F.col("_lo")
+    stem = F.when(whole, 0.0).otherwise(F.coalesce(F.max(F.when(n == F.col("_all"), F.col("d"))).over(tree), F.lit(0.0)))
+    own = edges.join(lo, ["tree_id", "tip_lo"]).join(hi, ["tree_id", "tip_hi"]).where(F.col("_all") >= 2).withColumn("_stem", stem)
+    return own.where((n > 0) & ((n < F.col("_all")) | whole)).withColumns({"b": F.col("b") - F.col("_stem"), "d": F.col("d") - F.col("_stem"), "tip_lo": F.col("_lo"), "tip_hi": F.col("_hi")}).select(*edges.columns)
 
 
 def collapse(edges: DataFrame, by: tuple[str, ...] = ("tree_id",)) -> DataFrame:
@@ -102,7 +112,8 @@ def collapse(edges: DataFrame, by: tuple[str, ...] = ("tree_id",)) -> DataFrame:
     jumps = edges.where(gone).select(*key, F.col("child").alias("parent"), F.col("parent").alias("top"))
     left = edges.where(~gone)
     while jumps.limit(1).count():
-        hop = left.join(jumps, [*key, "parent"], "left").withColumn("moved", F.col("top").isNotNull()).withColumn("parent", F.coalesce("top", "parent")).drop("top").cache()
+        hop = left.join(jumps, [*key, "parent"], "left").withColumn("moved", F.col("top").isNotNull()).withColumn("parent", F.coalesce("top", "parent")).drop("top")
+        hop = settle(hop)
         left = hop.drop("moved")
         if not hop.where("moved").limit(1).count():
             break

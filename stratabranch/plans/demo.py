@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratabranch.session import table
+from stratabranch.session import settle, table
 
 AGE = 10.0
 
@@ -25,14 +25,16 @@ def tips(spark: SparkSession, sf_dir: str, draws: int = 1) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str, draws: int = 1) -> DataFrame:
     """Edge rows; edge_id, parent and child are names of nodes."""
-    t = tips(spark, sf_dir, draws)
-    span = (F.min("tip").alias("tip_lo"), (F.max("tip") + 1).alias("tip_hi"))
     kind, brand = F.concat(F.lit("T:"), F.col("p_type")), F.concat(F.lit("B:"), F.col("p_type"), F.lit(":"), F.col("p_brand"))
     name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
-    top = t.groupBy("tree_id", "p_type", "dt").agg(*span).select("tree_id", kind.alias("child"), F.lit("root").alias("parent"), F.lit(0.0).alias("b"), F.col("dt").alias("d"), "tip_lo", "tip_hi", F.lit(False).alias("is_tip"), F.lit(None).cast("string").alias("label"))
-    middle = t.groupBy("tree_id", "p_type", "p_brand", "dt", "db").agg(*span).select("tree_id", brand.alias("child"), kind.alias("parent"), F.col("dt").alias("b"), F.col("db").alias("d"), "tip_lo", "tip_hi", F.lit(False), F.lit(None).cast("string"))
-    low = t.select("tree_id", name.alias("child"), brand.alias("parent"), F.col("db").alias("b"), F.lit(AGE).alias("d"), F.col("tip").alias("tip_lo"), (F.col("tip") + 1).alias("tip_hi"), F.lit(True), name)
-    return top.union(middle).union(low).select("tree_id", F.col("child").alias("edge_id"), "parent", "child", (F.col("d") - F.col("b")).alias("length"), "b", "d", "tip_lo", "tip_hi", "is_tip", "label")
+    row = lambda c, p, b, d, tip: F.struct(c.alias("child"), p.alias("parent"), b.alias("b"), d.alias("d"), F.lit(tip).alias("is_tip"))
+    above = F.array(row(kind, F.lit("root"), F.lit(0.0), F.col("dt"), False), row(brand, kind, F.col("dt"), F.col("db"), False), row(name, brand, F.col("db"), F.lit(AGE), True))
+    rows = tips(spark, sf_dir, draws).select("tree_id", "tip", F.explode(above).alias("e")).select("tree_id", "tip", "e.*")
+    return settle(
+        rows.groupBy("tree_id", "child", "parent", "b", "d", "is_tip")
+        .agg(F.min("tip").alias("tip_lo"), (F.max("tip") + 1).alias("tip_hi"))
+        .select("tree_id", F.col("child").alias("edge_id"), "parent", "child", (F.col("d") - F.col("b")).alias("length"), "b", "d", "tip_lo", "tip_hi", "is_tip", F.when(F.col("is_tip"), F.col("child")).alias("label"))
+    )
 
 
 def numbered(edge_rows: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site_id (the nation), species, each once. Suppliers are few beside lines, whose sums come first."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("site_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("species")).distinct()
+    return settle(lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("site_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("species")).distinct())
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:

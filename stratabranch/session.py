@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,5 +22,24 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") ->
     )
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package, whatever folder the driver runs in. On
+    a cluster, ship it with --py-files."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+    return spark
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpointed: computed once, kept in the shared folder of spark.checkpoint.dir (one of our own
+    where that is unset), and a short plan for what follows."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
