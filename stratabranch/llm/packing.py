@@ -90,7 +90,9 @@ class Capacities:
 
 
 def best_fit(lengths: list[int], width: int) -> list[list[int]]:
-    """Rows of indexes; each length is at most width."""
+    """Rows of indexes. Every length must fit a row."""
+    if max(lengths, default=0) > width:
+        raise ValueError("a piece is longer than a row")
     rows: list[list[int]] = []
     tree = Capacities(width)
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):

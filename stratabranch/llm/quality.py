@@ -112,7 +112,7 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1.0, steps: int = 25) ->
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Classifier:
     """Learn from the labelled documents whose doc_id has the smallest hashes."""
-    order = F.xxhash64(F.lit("quality"), "doc_id")
+    docs, order = docs.select("doc_id", "text"), F.xxhash64(F.lit("quality"), "doc_id")
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     known = known.join(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
     some = known.select("doc_id", "good", order.alias("h")).orderBy("h", "doc_id").limit(most)
@@ -175,6 +175,7 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thres
     model = train(docs, labels)
     score = scorer(docs, model)
     names: dict[str, str] = {}
+    at_host, at_path = free_name(docs, "host_mean"), free_name(docs, "path_mean")
     for c in ("host", "path", "odds", "p", "host_posterior", "path_posterior", "quality", "kept"):
         names[c] = free_name(docs, c)
     odds = names["odds"]
@@ -186,20 +187,20 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thres
     d = with_odds.withColumn(names["p"], p).alias("d")
     own = F.col(f"d.`{names['p']}`")
     host_mean = (priors["host"] * priors["mean"] + F.col("t.host_s") - own) / (priors["host"] + F.col("t.host_n") - 1)
-    path_mean = (priors["path"] * F.col("_host") + F.col("t.s") - own) / (priors["path"] + F.col("t.n") - 1)
+    path_mean = (priors["path"] * F.col(at_host) + F.col("t.s") - own) / (priors["path"] + F.col("t.n") - 1)
     joined = (
         d.join(table.alias("t"), F.expr(f"d.`{names['host']}` <=> t.host AND d.`{names['path']}` <=> t.path"))
-        .withColumn("_host", F.least(F.greatest(host_mean, F.lit(1e-6)), F.lit(1 - 1e-6)))
-        .withColumn("_path", F.least(F.greatest(path_mean, F.lit(1e-6)), F.lit(1 - 1e-6)))
+        .withColumn(at_host, F.least(F.greatest(host_mean, F.lit(1e-6)), F.lit(1 - 1e-6)))
+        .withColumn(at_path, F.least(F.greatest(path_mean, F.lit(1e-6)), F.lit(1 - 1e-6)))
     )
     base = float(np.clip(model.prior, 1e-6, 1 - 1e-6))
-    posterior = F.col(f"d.`{odds}`") - float(np.log(base / (1 - base))) + F.log(F.col("_path") / (1 - F.col("_path")))
+    posterior = F.col(f"d.`{odds}`") - float(np.log(base / (1 - base))) + F.log(F.col(at_path) / (1 - F.col(at_path)))
     quality = 1 / (1 + F.exp(-posterior))
     if model.prior in (0.0, 1.0):
         quality = F.lit(model.prior)
     keep = F.lit(True) if model.prior in (0.0, 1.0) else quality >= threshold
     columns = [F.col(f"d.`{c}`") for c in docs.columns] + [F.col(f"d.`{names[c]}`") for c in ("host", "path", "p")]
-    return joined.select(*columns, F.col("_host").alias(names["host_posterior"]), F.col("_path").alias(names["path_posterior"]), quality.alias(names["quality"]), keep.alias(names["kept"])), names
+    return joined.select(*columns, F.col(at_host).alias(names["host_posterior"]), F.col(at_path).alias(names["path_posterior"]), quality.alias(names["quality"]), keep.alias(names["kept"])), names
 
 
 def document_site() -> tuple[Column, Column]:
