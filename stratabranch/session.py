@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
-    return (
+    return reachable(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("stratabranch")
         .config("spark.driver.memory", memory)

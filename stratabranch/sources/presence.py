@@ -40,5 +40,6 @@ def read_adjacency(spark: SparkSession, path: str, header: bool = True) -> DataF
 
     m = spark.read.option("header", header).option("inferSchema", False).csv(path)
     names = m.columns[1:] if header else m.columns
-    rows = m.select((F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).alias("focal"), F.posexplode(F.array(*(F.col(f"`{c}`").cast("double") for c in names))).alias("member", "v"))
+    numbered = m.withColumn("focal", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+    rows = numbered.select("focal", F.posexplode(F.array(*(F.col(f"`{c}`").cast("double") for c in names))).alias("member", "v"))
     return rows.where("v = 1").select("focal", "member")
