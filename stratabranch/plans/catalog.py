@@ -168,7 +168,7 @@ def slice_rootward_pd(spark, sf):
     return _cut(slicing.rootward(demo.edges(spark, sf), 30.0, "pd"))
 
 
-@register("SELECT * FROM (VALUES (7.3, 7), (7.8, 8), (7.5, 8), (1.0, 1), (1.2, 2)) v(want, n_slices)".replace("want, n", "parts, n"))
+@register("SELECT CAST(parts AS DOUBLE) AS parts, n_slices FROM (VALUES (7.3, 7), (7.8, 8), (7.5, 8), (1.0, 1), (1.2, 2)) v(parts, n_slices)")
 def slice_widths(spark, sf):
     """How many slices widths of a whole over so many parts give."""
     return spark.createDataFrame([(p, slicing.pieces(1.0, 1.0 / p)[0]) for p in (7.3, 7.8, 7.5, 1.0, 1.2)], "parts double, n_slices int")

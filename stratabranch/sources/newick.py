@@ -340,9 +340,12 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
     record; NEXUS texts are told by their first word."""
     register(spark)
     files = spark.read.option("pathGlobFilter", "*.{tre,tree,nwk,newick,nex,t}").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    files.createOrReplaceTempView("_pool_files")
-    plain = spark.sql("SELECT file, draw AS record, newick FROM _pool_files, LATERAL split_newick(value) WHERE NOT upper(ltrim(value)) LIKE '#NEXUS%'")
-    nexus = spark.sql("SELECT file, draw AS record, newick FROM _pool_files, LATERAL parse_nexus(value) WHERE upper(ltrim(value)) LIKE '#NEXUS%'")
+    # The filters stand below the table functions, which would fail on the other kind of text.
+    is_nexus = F.upper(F.ltrim("value")).startswith("#NEXUS")
+    files.where(~is_nexus).createOrReplaceTempView("_pool_plain")
+    files.where(is_nexus).createOrReplaceTempView("_pool_nexus")
+    plain = spark.sql("SELECT file, draw AS record, newick FROM _pool_plain, LATERAL split_newick(value)")
+    nexus = spark.sql("SELECT file, draw AS record, newick FROM _pool_nexus, LATERAL parse_nexus(value)")
     from pyspark.sql import Window
 
     order = F.row_number().over(Window.orderBy("file", "record")) - 1
