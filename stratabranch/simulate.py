@@ -113,3 +113,13 @@ def communities(spark: SparkSession, species: list[str], side: int, pattern: str
     presence = pairs.select(F.concat(F.lit("site_"), F.col("site_pos").cast("string")).alias("site_id"), "species")
     bounds = cells.select("site_pos", F.col("x").alias("minx"), F.col("y").alias("miny"), (F.col("x") + 1).alias("maxx"), (F.col("y") + 1).alias("maxy"))
     return presence, bounds
+
+
+def grid_dataset(spark: SparkSession, trees: int = 3, tips: int = 50, side: int = 7, seed: int = 0) -> dict[str, DataFrame]:
+    """A pool of birth-death trees and clustered communities on a grid, with coordinates, bounds and queen
+    adjacency (of site positions)."""
+    from stratabranch.operators import spatial
+
+    present, bounds = communities(spark, [f"sp_{i + 1}" for i in range(tips)], side, "clustered", seed=seed)
+    coords = bounds.select("site_pos", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
+    return {"trees": tree_pool(spark, trees, tips, "birth_death", seed=seed), "presence": present, "bounds": bounds, "coords": coords, "adj": spatial.from_bounds(bounds)}

@@ -335,6 +335,13 @@ def render_trees(edges: DataFrame, digits: str = "%.12g") -> DataFrame:
     return edges.select("tree_id", "edge_id", "parent", "child", "length", "label").groupBy("tree_id").applyInPandas(one, "tree_id string, newick string")
 
 
+def equal_trees(left: DataFrame, right: DataFrame) -> DataFrame:
+    """tree_id, equal of edge tables that are compared as text: tip order, edges, lengths. A tree that one
+    side lacks isn't equal."""
+    a, b = render_trees(left).withColumnRenamed("newick", "a"), render_trees(right).withColumnRenamed("newick", "b")
+    return a.join(b, "tree_id", "full").select("tree_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("equal"))
+
+
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
     """tree_id, draw, newick of the trees in a file, a directory or a glob, in order of file and
     record; NEXUS texts are told by their first word."""

@@ -112,3 +112,9 @@ def test_presence_forms(spark, tmp_path):
     assert {tuple(r) for r in back.collect()} == {("a", 1, 0), ("b", 1, 0)}
     (tmp_path / "adj.csv").write_text('"",s1,s2\na,1,0\nb,1,1\n')
     assert {tuple(r) for r in presence.read_adjacency(spark, str(tmp_path / "adj.csv")).collect()} == {(0, 0), (1, 0), (1, 1)}
+
+
+def test_dataset(spark):
+    d = simulate.grid_dataset(spark, trees=2, tips=10, side=3)
+    assert d["trees"].count() == 2 and d["bounds"].count() == d["coords"].count() == 9
+    assert d["adj"].where("focal = 4").count() == 9 and d["presence"].select("species").distinct().count() == 10

@@ -1,6 +1,6 @@
 import pytest
 
-from stratabranch.sources import newick
+from stratabranch.sources import adapters, newick
 from stratabranch.sources.newick import TreeError, parse, render, split_records
 
 BALANCED = "((A:1,B:1):1,(C:1,D:1):1);"
@@ -64,3 +64,27 @@ def test_pool_and_source_read_files(spark, tmp_path):
     assert [r.newick for r in pool] == [BALANCED, CATERPILLAR, BALANCED] and [r.draw for r in pool] == [0, 1, 2]
     newick.register(spark)
     assert spark.read.format("newick").load(str(tmp_path / "b.tre")).count() == 8 + 6
+
+
+class Node:
+    """Quacks like the nodes of two libraries."""
+
+    def __init__(self, name=None, branch_length=None, clades=()):
+        self.name = self.label = name
+        self.taxon, self.branch_length, self.clades = None, branch_length, list(clades)
+        self.edge = type("Edge", (), {"length": branch_length})
+        self.root = self.seed_node = self
+
+    def child_nodes(self):
+        return self.clades
+
+
+def test_adapters():
+    tree = Node(clades=[Node(branch_length=1, clades=[Node("A", 1), Node(None, 2.5)]), Node("C", 3)])
+    assert adapters.from_biopython(tree) == adapters.from_dendropy(tree) == "((A:1,tip_2:2.5):1,C:3);"
+
+
+def test_equal_trees(spark):
+    frame = lambda *t: newick.parse_trees(spark.createDataFrame(list(t), "tree_id string, newick string"))[0]
+    a, b = frame(("x", BALANCED), ("y", CATERPILLAR)), frame(("x", BALANCED), ("y", BALANCED), ("z", BALANCED))
+    assert {r.tree_id: r.equal for r in newick.equal_trees(a, b).collect()} == {"x": True, "y": False, "z": False}
