@@ -18,7 +18,6 @@ carried along, and clashing names are avoided.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 
