@@ -17,8 +17,6 @@ text are not read, so their names can't clash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,6 +96,7 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id and the digest of each row's normalised text."""
+    tune(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [hashlib.sha256((x or b"").lower()).digest() for x in batch.column(1).to_pylist()]
@@ -192,10 +191,22 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, shard_keys: i
     doc_id, keep_id, group_size, kept, text_sha256, in_history (its text's digest was in the
     index), slot. history: the documents that the index is built of; none: an empty index.
     """
-    tune(docs.sparkSession)
     rows = digests(docs).withColumn("old", F.lit(False))
     if history is not None:
         rows = rows.unionByName(digests(history).withColumn("old", F.lit(True)))
+    return _against_history(rows, shard_keys)
+
+
+def dedup_table(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """exact_dedup of one table, read once: the older half of the ids is the history, the rest (null
+    ids too) the new batch."""
+    low, high = docs.select(F.min("doc_id"), F.max("doc_id")).first()
+    old = F.coalesce(F.col("doc_id") <= F.lit(0 if low is None else (low + high) // 2), F.lit(False))
+    return _against_history(digests(docs).withColumn("old", old), shard_keys)
+
+
+def _against_history(rows: DataFrame, shard_keys: int) -> DataFrame:
+    """rows: doc_id, digest, old (belongs to the history)."""
     rows = cut(rows)
     shards = max(1, -(-rows.count() // shard_keys))
     index = build_index(rows.where("old").drop("old"), shards)
@@ -213,10 +224,3 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, shard_keys: i
             "slot",
         )
     )
-
-
-def split_history(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The older half of the ids as history, the rest (null ids too) as the new batch."""
-    low, high = docs.select(F.min("doc_id"), F.max("doc_id")).first()
-    old = F.coalesce(F.col("doc_id") <= F.lit(0 if low is None else (low + high) // 2), F.lit(False))
-    return docs.where(old), docs.where(~old)

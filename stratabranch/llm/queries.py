@@ -16,8 +16,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history, batch = exact_dedup.split_history(table(spark, sf_dir, "documents"))
-    return exact_dedup.exact_dedup(batch, history).drop("slot")
+    return exact_dedup.dedup_table(table(spark, sf_dir, "documents")).drop("slot")
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

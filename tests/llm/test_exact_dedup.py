@@ -30,9 +30,10 @@ ROWS = [(1, "Same"), (9, "sAME"), (4, "é"), (5, "É"), (2, None), (3, ""), (Non
 
 def test_history_and_batch_match_brute_force(spark):
     frame = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "'z' AS digest", "1 AS slot", "2 AS winner")
-    history, batch = exact_dedup.split_history(frame)
+    history, batch = frame.where("doc_id < 5"), frame.where("doc_id >= 5 OR doc_id IS NULL")
     assert got(exact_dedup.exact_dedup(batch, history)) == brute(ROWS)
     assert got(exact_dedup.exact_dedup(frame)) == brute(ROWS)
+    assert got(exact_dedup.dedup_table(frame)) == brute(ROWS)
     many = exact_dedup.exact_dedup(batch, history, shard_keys=2)
     assert got(many) == brute(ROWS)
 
@@ -46,14 +47,12 @@ def test_members_are_told_from_nonmembers(spark):
 
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    history, batch = exact_dedup.split_history(none)
-    assert exact_dedup.exact_dedup(batch, history).count() == 0
+    assert exact_dedup.dedup_table(none).count() == 0
 
 
 def test_documents(spark, sf_dir):
     t = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
-    history, batch = exact_dedup.split_history(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    assert got(exact_dedup.exact_dedup(batch, history)) == brute(list(zip(t["doc_id"], t["text"])))
+    assert got(exact_dedup.dedup_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))) == brute(list(zip(t["doc_id"], t["text"])))
 
 
 def test_hash_is_minimal_and_perfect():
