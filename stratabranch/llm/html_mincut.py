@@ -3,7 +3,12 @@
 A page is cut into blocks of text at block-level tags. A logistic classifier, trained here on blocks
 whose containers say what they are (article or main against nav, footer and the like), gives each
 block a probability of being content from its text and links alone; evidence from the containers
-is added as odds. The two costs of a block are its capacities to the two terminals. Neighbours in
+is added as odds. Class and id names are read as wholes: sidebar-inner is furniture, has-sidebar is a
+state and tells nothing; html and body tell nothing by name, article and main are no furniture by
+name. A furniture name or a form that holds a main, an article that has no content-marked text
+beside it, or most of the page's text with hardly any content-marked text outside, is a wrapper and
+tells nothing either. Any other mark against holds for all inside, such as articles in a list of
+comments. The two costs of a block are its capacities to the two terminals. Neighbours in
 page order, and the nearest blocks of one container, are joined by smoothness edges that grow with
 how much of their path in the document they share. The minimum cut, from a maximum flow, is the
 labelling of least total cost.
@@ -45,12 +50,19 @@ FURNITURE = re.compile(
     r"^(ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|newsletter|subscri\w+|signup|login|search|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|header\w*|masthead|topbar|toolbar|shar(e|ing)|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|pagination|pager|widgets?|skip|copyright|legal|disclaimer)$"
 )
 BODY = re.compile(r"^(article\w*|post|postbody|entry|story\w*|content|main\w*|text|body)$")
+#: Words that make a name a state of the page, and words that may follow a furniture word in its name.
+STATE = frozenset("has have no not is with without hide show".split())
+PARTS = frozenset(
+    "area articles author bar block blocks body bottom box button buttons col column container content date desktop form group head heading holder icon icons image img info inner inside item items label left link links list media meta mobile next outer panel placeholder posts prev previous primary reply right row secondary section slot stories tab tabs text title to tools top trail unit wrap wrapper zone".split()
+)
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_NAME = re.compile(r"[A-Za-z]+")
 #: Odds that a container's evidence adds, and the weights of smoothness edges.
 EVIDENCE, NEXT, SIBLING = 6.0, 0.6, 1.2
+#: A furniture name with most of the page's text is a wrapper if text marked as content outside it is
+#: a smaller share of its own than this.
+BESIDE = 0.05
 
 
 @dataclass
@@ -63,17 +75,26 @@ class Block:
     place: float = 0.0
 
 
+@dataclass
+class _Mark:
+    """What a container says about its text."""
+
+    sign: int
+    by_name: bool = False  # against by class, id or being a form, which page-wide wrappers are too
+    kind: str = ""  # article or main, by tag or role
+
+
 @dataclass
 class _Open:
     tag: str
     number: int
-    sign: int
 
 
 @dataclass
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
     open: list[_Open] = field(default_factory=list)
+    marks: dict[int, _Mark] = field(default_factory=dict)  # of containers that tell something
     parts: list[str] = field(default_factory=list)
     links: int = 0
     in_link: bool = False
@@ -83,32 +104,76 @@ class _Reader:
         raw = "".join(self.parts)
         text = " ".join(raw.split())
         if text:
-            sign = next((o.sign for o in reversed(self.open) if o.sign), 0)
-            if any(o.sign < 0 for o in self.open):
-                sign = -1
-            self.blocks.append(Block(text, min(self.links, len(text)), tuple(o.number for o in self.open), sign, self.heading))
+            self.blocks.append(Block(text, min(self.links, len(text)), tuple(o.number for o in self.open), heading=self.heading))
         self.parts, self.links = [], 0
 
 
-def _sign(tag: str, attributes: str) -> tuple[int, bool]:
+def _name_sign(name: str) -> int:
+    """What one class or id says: 1, -1 or 0."""
+    words = [w for x in re.split(r"[-_]+", name.partition("--")[0]) if (w := x.rstrip("0123456789")).isalpha()]
+    if STATE.intersection(words):
+        return 0
+    if FURNITURE.match("".join(words)):
+        return -1
+    if any(map(FURNITURE.match, words)):
+        while words[-1] in PARTS and not FURNITURE.match(words[-1]):
+            words.pop()
+        return -1 if FURNITURE.match(words[-1]) else 0
+    return int(any(map(BODY.match, words)))
+
+
+def _mark(tag: str, attributes: str) -> tuple[_Mark, bool]:
     """What a container says about its text, and whether it is hidden."""
-    sign = -1 if tag in AGAINST else 1 if tag in FOR else 0
-    hidden = False
+    mark = _Mark(-1 if tag in AGAINST else 1 if tag in FOR else 0, tag == "form", tag if tag in FOR else "")
+    hidden, names = False, []
     if attributes and not attributes.isspace():
         for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(values)
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            name, value = name.lower(), "".join(values).lower()
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 hidden = True
             elif name == "role":
-                sign = -1 if value.lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"} else 1 if value.lower() in {"main", "article"} else sign
+                if value in {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"}:
+                    mark = _Mark(-1, value == "form")
+                elif value in FOR:
+                    mark = _Mark(1, kind=value)
             elif name in ("class", "id"):
-                words = [w.lower() for w in _NAME.findall(value)]
-                whole = value.lower().replace("-", "").replace("_", "").split()
-                if any(FURNITURE.match(w) for w in (*words, *whole)):
-                    sign = -1
-                elif sign == 0 and any(BODY.match(w) for w in words):
-                    sign = 1
-    return sign, hidden
+                names += value.split()
+    if names and not mark.kind and mark.sign >= 0 and tag not in ("html", "body"):
+        signs = set(map(_name_sign, names))
+        if -1 in signs:
+            mark = _Mark(-1, True)
+        elif mark.sign == 0 and 1 in signs:
+            mark = _Mark(1)
+    return mark, hidden
+
+
+def _settle(blocks: list[Block], marks: dict[int, _Mark]) -> None:
+    """Give each block the sign of its containers, without the marks of wrappers."""
+    inside: dict[int, int] = {}  # text in each container that is against, and what of it is in content
+    content_in: dict[int, int] = {}
+    holds: dict[int, set[str]] = {}
+    whole = content = 0
+    for b in blocks:
+        told = [(n, marks[n]) for n in b.path if n in marks]
+        whole += len(b.text)
+        marked = len(b.text) if told and told[-1][1].sign > 0 and not b.heading else 0
+        content += marked
+        kinds: set[str] = set()
+        for n, m in reversed(told):
+            if m.sign < 0:
+                inside[n] = inside.get(n, 0) + len(b.text)
+                content_in[n] = content_in.get(n, 0) + marked
+                holds.setdefault(n, set()).update(kinds)
+            kinds.add(m.kind)
+    wrappers = set()
+    for n, size in inside.items():
+        beside = content - content_in[n]
+        most = 2 * size > whole and beside < BESIDE * size
+        if "main" in holds[n] or ("article" in holds[n] and not beside) or (marks[n].by_name and most):
+            wrappers.add(n)
+    for b in blocks:
+        signs = [marks[n].sign for n in b.path if n in marks and n not in wrappers]
+        b.sign = -1 if -1 in signs else int(bool(signs))
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -165,20 +230,22 @@ def read_blocks(page: str) -> list[Block]:
                     while out.open.pop().tag != tag:
                         pass
             else:
-                sign, hidden = _sign(tag, attributes)
+                mark, hidden = _mark(tag, attributes)
                 if hidden and not attributes.endswith("/"):
                     skip, depth = tag, 1
                 else:
                     number += 1
-                    out.open.append(_Open(tag, number, sign))
+                    out.open.append(_Open(tag, number))
+                    if mark.sign:
+                        out.marks[number] = mark
             continue
         out.end_block()
         if tag in BLOCKS and attributes and not close and tag not in ("br", "hr"):
-            sign, hidden = _sign(tag, attributes)
-            if hidden:
+            if _mark(tag, attributes)[1]:
                 skip, depth = tag, 1
         out.heading = tag[0] == "h" and tag[1:].isdigit() and not close
     out.end_block()
+    _settle(out.blocks, out.marks)
     for k, b in enumerate(out.blocks):
         b.place = k / len(out.blocks)
     return out.blocks

@@ -33,6 +33,30 @@ def test_nothing_and_broken_pages():
     assert H.main_text("<article>a&nbsp;b\n\t c&eacute;</article>", np.zeros(8)) == "a b cé"
 
 
+def test_names_of_wrappers_lose_no_article():
+    text = "The first paragraph, with a fair number of words in it. The second one, telling more at length."
+    body = "<p>The first paragraph, with a fair number of words in it.<p>The second one, telling more at length."
+    article = f"<nav>Home</nav><article>{body}</article><div class='sidebar-inner'>Popular</div>"
+    for page in (
+        f'<body class="has-sidebar">{article}</body>',
+        f'<html id="header-top"><body class="no-sidebar menu">{article}</body></html>',
+        f'<body><article class="post has-comments widget">{body}</article><div class="comments">Nice.</div></body>',
+        f'<body><main class="content sidebar-right">{body}</main><aside>More</aside></body>',
+        f'<body><div role="main" class="sidebar">{body}</div></body>',
+        f'<body><div id="page" class="nav-closed">{article}</div></body>',
+        f'<body><div id="nav"><div class="sidebar">{article}</div></div></body>',
+        f'<body><form action="/"><div class="content">{body}</div><footer>us</footer></form></body>',
+        f'<body><form>{article}</form></body>',
+        f'<body><div class="content"><h2>T</h2></div><div class="sidebar-right"><div class="text">{body}</div></div></body>',
+    ):
+        got = H.main_text(page, np.zeros(8))
+        assert got.removeprefix("T ") == text, page
+    # Articles in a list of comments or of related stories are no main text, however long they are.
+    for box in ("comments-area", "related-posts", "site-footer", "cookie-notice"):
+        page = f'<main><article>{body}</article><div class="{box}"><ol><li><article>' + "I liked it, says a reader. " * 9 + "</article></ol></div></main>"
+        assert H.main_text(page, np.zeros(8)) == text, box
+
+
 def test_cut_is_minimal():
     r = np.random.default_rng(4)
     for _ in range(60):
