@@ -26,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without a full window of a benchmark item, or windows of two items."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from stratabranch.llm.common import free_name, over_batches, text_bytes, tune
 
 WINDOW = 8
-#: Items whose windows occur in a document that the report calls contaminated, and in one that is
-#: removed: one verbatim window of one item is a leak already.
-MIN_ITEMS, REMOVED_ITEMS = 2, 1
+#: Items whose windows occur in a document that is contaminated.
+MIN_ITEMS = 2
 #: Words of the benchmark that are held by the driver and sent to executors at a time.
 BLOCK_WORDS = 500_000
 #: Bytes of text in a shard; a longer document is a shard by itself.
@@ -285,7 +284,9 @@ def report(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) ->
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = REMOVED_ITEMS) -> DataFrame:
-    """docs without the affected documents."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
+    """docs without those that hold a full window of an item, which is a leak already, or windows of
+    min_items items; items of fewer than WINDOW words count only towards these."""
     found, name = search(docs, benchmark)
-    return found.where(F.size(F.col(name)["items"]) < min_items).drop(name)
+    f = F.col(name)
+    return found.where((f["longest"] < WINDOW) & (F.size(f["items"]) < min_items)).drop(name)

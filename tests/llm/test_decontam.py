@@ -70,6 +70,13 @@ def test_longest_match_and_removal(spark):
     assert out.columns == ["doc_id", "text", "found"] and [x.doc_id for x in out.collect()] == [2]
 
 
+def test_short_items_count_only_towards_two(spark):
+    full = "one two three four five six seven eight"
+    docs = [(1, "the clean one"), (2, f"the {full}"), (3, full), (4, "the clean and whole one"), (5, "nothing of it"), (6, "two three four five six seven eight")]
+    d, b = frames(spark, docs, [(1, "The"), (2, full + " nine"), (3, "clean and whole"), (1, "of it")])
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, b).collect()) == [1, 5, 6]
+
+
 def test_empty_tables(spark):
     d, b = frames(spark, [], [(1, "a b")])
     assert decontam.report(d, b).count() == 0
