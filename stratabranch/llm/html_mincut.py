@@ -16,7 +16,8 @@ labelling of least total cost.
 Null html is empty. Scripts, styles, markup, hidden parts and form controls are no text at all.
 Character references are decoded, white space inside a block becomes one space, blocks of the
 content side are joined in page order by one space. A page without content has an empty text.
-Unclosed and stray tags are tolerated. Repeated rows are done each; a null page_id is carried. An
+Unclosed and stray tags are tolerated: a head needs no end tag, and a hidden part ends where HTML
+ends it, at the tags that imply its end or at its parent's end. Repeated rows are done each; a null page_id is carried. An
 empty table gives no rows. Other columns aren't read.
 """
 
@@ -40,7 +41,7 @@ TRAIN_BLOCKS = 40_000
 
 # Names of HTML elements by what they do to text, and words of class and id
 # attributes that name page furniture.
-SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas select option textarea button datalist audio video map".split())
+SKIPPED = frozenset("script style noscript template title svg math iframe object canvas select option textarea button datalist audio video map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr nobr input".split())
 CONTAINERS = frozenset("html body div article section main nav header footer aside form fieldset ul ol dl table tbody thead tfoot tr td th figure blockquote details dialog menu address center".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr figcaption summary caption legend".split())
@@ -50,6 +51,20 @@ FURNITURE = re.compile(
     r"^(ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|newsletter|subscri\w+|signup|login|search|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|header\w*|masthead|topbar|toolbar|shar(e|ing)|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|pagination|pager|widgets?|skip|copyright|legal|disclaimer)$"
 )
 BODY = re.compile(r"^(article\w*|post|postbody|entry|story\w*|content|main\w*|text|body)$")
+# Elements whose content isn't markup, those whose end tags may be missing, and what is ended by the
+# start of an element: tags, up to others that enclose them.
+RAW = frozenset("script style textarea title iframe noscript".split())
+OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot".split())
+_CELLS, _ROWS = frozenset(("td", "th")), frozenset(("tr", "td", "th"))
+_GROUPS = _ROWS | {"thead", "tbody", "tfoot", "caption"}
+_AROUND_P = frozenset("button table caption td th object template svg math".split())
+_AROUND_ITEM = CONTAINERS - {"address", "div"} | {"button", "object", "template", "svg", "math"}
+_TABLE = frozenset(("table", "template"))
+ENDED_BY = {tag: [(frozenset(("p",)), _AROUND_P)] for tag in CONTAINERS | BLOCKS if tag not in _GROUPS | {"html", "body", "br", "legend"}}
+ENDED_BY["li"] = [*ENDED_BY["li"], (frozenset(("li",)), _AROUND_ITEM)]
+for _tag in ("dt", "dd"):
+    ENDED_BY[_tag] = [*ENDED_BY[_tag], (frozenset(("dt", "dd")), _AROUND_ITEM)]
+ENDED_BY |= {tag: [(_CELLS, _TABLE | {"tr"})] for tag in _CELLS} | {"tr": [(_ROWS, _TABLE)]} | {tag: [(_GROUPS, _TABLE)] for tag in ("thead", "tbody", "tfoot")}
 #: Words that make a name a state of the page, and words that may follow a furniture word in its name.
 STATE = frozenset("has have no not is with without hide show".split())
 PARTS = frozenset(
@@ -57,7 +72,7 @@ PARTS = frozenset(
 )
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Odds that a container's evidence adds, and the weights of smoothness edges.
 EVIDENCE, NEXT, SIBLING = 6.0, 0.6, 1.2
 #: A furniture name with most of the page's text is a wrapper if text marked as content outside it is
@@ -176,14 +191,25 @@ def _settle(blocks: list[Block], marks: dict[int, _Mark]) -> None:
         b.sign = -1 if -1 in signs else int(bool(signs))
 
 
+def _left(inner: list[str], tag: str) -> int:
+    """How many of the elements in a skipped part stay open when tag starts."""
+    left = len(inner)
+    for ended, around in ENDED_BY.get(tag, ()):
+        for k in range(len(inner) - 1, -1, -1):
+            if inner[k] in ended:
+                left = min(left, k)
+            elif inner[k] in around:
+                break
+    return left
+
+
 def read_blocks(page: str) -> list[Block]:
     """Blocks of text in page order."""
     out, number, at = _Reader(), 0, 0
-    skip = None  # the tag whose end is waited for, and how deep
-    depth = 0
+    inner: list[str] = []  # open elements of the part that is skipped, if any
 
     def text(raw: str) -> None:
-        if raw and skip is None:
+        if raw and not inner:
             raw = entities.unescape(raw) if "&" in raw else raw
             out.parts.append(raw)
             if out.in_link:
@@ -202,21 +228,31 @@ def read_blocks(page: str) -> list[Block]:
                 text(m[0][9:-3])
             continue
         close, attributes = bool(m[1]), m[3]
-        if skip is not None:
-            if tag == skip:
-                depth += -1 if close else 1
-                if not depth:
-                    skip = None
-            continue
-        if tag in ("script", "style", "textarea", "title") and not close:
+        empty = attributes.endswith("/")
+        if tag in RAW and not close and not (empty and ("svg" in inner or "math" in inner)):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if tag != "script" and tag != "style":
+            if tag in ("textarea", "title") and not inner:
                 out.end_block()
             continue
+        if inner and close:
+            if tag in inner:
+                while inner.pop() != tag:
+                    pass
+                continue
+            of_parent = any(o.tag == tag for o in out.open) or (inner[0] in OPTIONAL and tag in BLOCKS and tag != "p")
+            if inner[0] == "template" or not of_parent:
+                continue
+            inner.clear()
+        elif inner:
+            del inner[_left(inner, tag) :]
+            if inner:
+                if tag in CONTAINERS or (tag in BLOCKS and tag not in ("br", "hr")) or (tag in SKIPPED and tag not in RAW and tag != "option" and not empty):
+                    inner.append(tag)
+                continue
         if tag in SKIPPED:
-            if not close and not attributes.endswith("/") and tag not in ("option",):
-                skip, depth = tag, 1
+            if not close and not empty and tag != "option":
+                inner.append(tag)
             continue
         if tag in INLINE or "-" in tag:
             if tag == "a":
@@ -231,8 +267,8 @@ def read_blocks(page: str) -> list[Block]:
                         pass
             else:
                 mark, hidden = _mark(tag, attributes)
-                if hidden and not attributes.endswith("/"):
-                    skip, depth = tag, 1
+                if hidden and not empty:
+                    inner.append(tag)
                 else:
                     number += 1
                     out.open.append(_Open(tag, number))
@@ -242,7 +278,8 @@ def read_blocks(page: str) -> list[Block]:
         out.end_block()
         if tag in BLOCKS and attributes and not close and tag not in ("br", "hr"):
             if _mark(tag, attributes)[1]:
-                skip, depth = tag, 1
+                inner.append(tag)
+                continue
         out.heading = tag[0] == "h" and tag[1:].isdigit() and not close
     out.end_block()
     _settle(out.blocks, out.marks)

@@ -57,6 +57,30 @@ def test_names_of_wrappers_lose_no_article():
         assert H.main_text(page, np.zeros(8)) == text, box
 
 
+def test_skipped_parts_end_where_html_ends_them():
+    for page in (
+        "<html><head><meta charset=utf-8><title>t</title><body><article>It isn't lost.</article>",
+        "<head><link rel=x><article>It isn't lost.</article>",
+        "<head><script>for (i = 0; i<n; i++) {} // don't</script></head><body><article>It isn't lost.</article></body>",
+        "<article><div hidden><script>i<n // don't</script><style>a>b{}</style></div>It isn't lost.</article>",
+        "<article><svg><script href=x /><svg/><title>t</title></svg>It isn't lost.</article>",
+        "<article><p hidden>no<p>It isn't<p>lost.</article>",
+        "<article><p hidden>no<div>It isn't lost.</div></article>",
+        "<article><div><p style='display:none'>no</div>It isn't lost.</article>",
+        "<article><ul><li hidden>no<ul><li>nor this</ul><li>It isn't<li>lost.</ul></article>",
+        "<article><ul><li hidden>no</ul>It isn't lost.</article>",
+        "<article><ul><li><p hidden>no</li>It isn't<li>lost.</ul></article>",
+        "<article><dl><dt hidden>no<dd>It isn't<dd>lost.</dl></article>",
+        "<article><table><tr><td hidden>no<td>It isn't<tr hidden><td>no<tr><td>lost.</table></article>",
+        "<article><div hidden>no<div>nor</div><p>this</div>It isn't lost.</article>",
+        "<article><section><div hidden>no</section>It isn't lost.</article>",
+        "<article><template><p>no</div></article></template>It isn't lost.</article>",
+        '<article title="hidden gems"><p title="a hidden one">It isn\'t</p><div data-hidden="false" data-style="display:none" alt=hidden>lost.</div></article>',
+        '<article><div class="a" hidden>no</div><p aria-hidden=true>no</p><p HIDDEN>no</p>It isn\'t lost.</article>',
+    ):
+        assert H.main_text(page, np.zeros(8)) == "It isn't lost.", page
+
+
 def test_cut_is_minimal():
     r = np.random.default_rng(4)
     for _ in range(60):
