@@ -3,7 +3,8 @@
 A page is cut into blocks of text at block-level tags. A logistic classifier, trained here on blocks
 whose containers say what they are (article or main against nav, footer and the like), gives each
 block a probability of being content from its text and links alone; evidence from the containers
-is added as odds. Class and id names are read as wholes: sidebar-inner is furniture, has-sidebar is a
+is added as odds. If the sampled containers tell of one kind only, or of none, fixed weights take the
+classifier's place: long, punctuated blocks with few links are content. Class and id names are read as wholes: sidebar-inner is furniture, has-sidebar is a
 state and tells nothing; html and body tell nothing by name, article and main are no furniture by
 name. A furniture name or a form that holds a main, an article that has no content-marked text
 beside it, or most of the page's text with hardly any content-marked text outside, is a wrapper and
@@ -75,6 +76,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Odds that a container's evidence adds, and the weights of smoothness edges.
 EVIDENCE, NEXT, SIBLING = 6.0, 0.6, 1.2
+#: Weights of block_features where there aren't two kinds to learn from.
+PRIOR = (4.0, -6.0, 0.5, 3.0, 0.0, 0.0, 1.5, -2.5)
 #: A furniture name with most of the page's text is a wrapper if text marked as content outside it is
 #: a smaller share of its own than this.
 BESIDE = 0.05
@@ -308,10 +311,10 @@ def block_features(blocks: list[Block]) -> np.ndarray:
 
 
 def train(blocks: np.ndarray, content: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression; zeros if only one kind is there."""
-    w = np.zeros(blocks.shape[1])
+    """Weights of a ridge logistic regression; PRIOR if only one kind is there, or none."""
     if not len(content) or content.min() == content.max():
-        return w
+        return np.array(PRIOR)
+    w = np.zeros(blocks.shape[1])
     weight = np.where(content > 0, 0.5 / content.mean(), 0.5 / (1 - content.mean()))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(blocks @ w, -30, 30)))

@@ -115,3 +115,15 @@ def test_edges(spark):
     got = H.extract(pages).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 1, 5 * 5000 - 1]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_pages_with_one_kind_of_evidence_or_none(spark):
+    text = "A plain paragraph, which tells something at length. Another one follows it, and it is as long as that."
+    plain = text.replace(". ", ".<p>")
+    links = "<ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/a>About us</a></ul>"
+    bare = [f"<p>{plain}", f"<div>{links}</div><div><p>{plain}</div>", f"<html><body><div><div><p>{plain}</div></div></body></html>", text]
+    for more in ("", "<nav><a href=/>Menu</a></nav>"):
+        pages = spark.createDataFrame([(k, "u", more + x) for k, x in enumerate(bare)], "page_id long, url string, html string")
+        assert [r.text for r in H.extract(pages).collect()] == [text] * len(bare), more
+    pages = spark.createDataFrame([(k, "u", x) for k, x in enumerate([*bare, f"<article>{text}</article>"])], "page_id long, url string, html string")
+    assert [r.text for r in H.extract(pages).collect()] == [text] * (len(bare) + 1)
