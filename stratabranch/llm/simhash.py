@@ -244,23 +244,33 @@ def report(docs: DataFrame) -> DataFrame:
     return near_dedup(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_codes(rows: DataFrame, code: str) -> DataFrame:
+    """rows with a last column of their fingerprints."""
+    rows = rows.withColumn(code, F.lit(None).cast("long"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        return batch.set_column(batch.num_columns - 1, code, pa.array(fingerprints_of([x or b"" for x in texts]).view(np.int64)))
+
+    return over_batches(rows, work, rows.schema)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: a row of the doc_id that names it, whatever its text
-    where that doc_id repeats; without any doc_id, a row with the smallest fingerprint."""
+    """docs with one row of each component: a row of the doc_id that names it, with the smallest
+    fingerprint in the component where that doc_id repeats; without any doc_id, a row with the
+    smallest fingerprint."""
     found = cut(near_dedup(docs))
     code, keep, repeats = (free_name(docs, c) for c in ("fp", "keep_id", "repeats"))
-    named = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(keep)).agg((F.count("*") > 1).alias(repeats))
+    names = F.max(F.col("doc_id") == F.col("component_id")).alias("names")
+    named = found.groupBy(F.col("doc_id").alias(keep)).agg((F.count("*") > 1).alias(repeats), names).where("names").drop("names")
     kept = docs.join(named.hint("shuffle_hash"), docs["doc_id"] == F.col(keep)).drop(keep)
     out = kept.where(~F.col(repeats)).drop(repeats)
     if named.where(repeats).limit(1).count():
-        out = out.unionByName(kept.where(repeats).drop(repeats).dropDuplicates(["doc_id"]))
+        survivors = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias(code)).select("doc_id", code)
+        own = _with_codes(kept.where(repeats).drop(repeats), code)
+        out = out.unionByName(own.join(survivors, ["doc_id", code], "left_semi").dropDuplicates(["doc_id", code]).select(*docs.columns))
     nameless = found.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias(code)).select(code)
     if nameless.limit(1).count():
-        own = docs.where("doc_id IS NULL").withColumn(code, F.lit(None).cast("long"))
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            return batch.set_column(batch.num_columns - 1, code, pa.array(fingerprints_of([x or b"" for x in texts]).view(np.int64)))
-
-        out = out.unionByName(over_batches(own, work, own.schema).join(nameless, code, "left_semi").dropDuplicates([code]).drop(code))
+        own = _with_codes(docs.where("doc_id IS NULL"), code)
+        out = out.unionByName(own.join(nameless, code, "left_semi").dropDuplicates([code]).drop(code))
     return out

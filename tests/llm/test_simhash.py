@@ -81,3 +81,14 @@ def test_one_of_each_group_stays(spark, repeat):
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, keep_id string"))
     assert kept.columns == ["doc_id", "text", "keep_id"]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, "a b c d"), (3, "quite another text"), (None, "nobody has this id")]
+
+
+def test_repeated_ids_keep_one_row_of_each_component(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    # 1 names two components and repeats in one; 3 names its own and is a copy in that of 2.
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (4, text(2)), (2, text(3)), (3, text(3)), (3, text(4)), (5, text(5)), (None, text(6)), (None, text(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp")
+    got = simhash.drop_near_duplicates(docs)
+    want = [(1, text(1)), (1, text(2)), (2, text(3)), (3, text(4)), (5, text(5)), (None, text(6))]
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
