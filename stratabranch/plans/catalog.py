@@ -86,8 +86,8 @@ def tip_ages(spark, sf):
 
 @register("SELECT 'p' || p_partkey AS label, 'negative length' AS problem FROM part WHERE p_partkey % 100 = 7 UNION ALL SELECT 'p' || p_partkey, 'more than one parent' FROM part WHERE p_partkey % 100 = 8")
 def edge_problems(spark, sf):
-    """Each broken copy of a small tree is told with its problem."""
-    part = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("tree_id"), (F.col("p_partkey") % 100).alias("kind")).where("kind IN (6, 7, 8)")
+    """Each part is a small tree, some of them broken; the broken ones are told with their problem."""
+    part = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("tree_id"), (F.col("p_partkey") % 100).alias("kind"))
     row = lambda p, c, x, l: F.struct(F.lit(p).alias("parent"), F.lit(c).alias("child"), (x if not isinstance(x, float) else F.lit(x)).alias("length"), F.lit(l).cast("string").alias("label"))  # noqa: E731,E741
     base = [row(9, 1, F.when(F.col("kind") == 7, -1.0).otherwise(1.0), "a"), row(9, 2, 1.0, "b"), row(9, 3, 1.0, "c")]
     links = part.select("tree_id", F.explode(F.when(F.col("kind") == 8, F.array(*base, row(3, 2, 1.0, "b"))).otherwise(F.array(*base))).alias("e")).select("tree_id", "e.*")

@@ -43,3 +43,10 @@ def test_query_agrees_with_its_sql(spark, sf_dir, duck, name):
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_edge_problems_checks_a_tree_for_every_part(spark, sf_dir, duck, monkeypatch):
+    seen, problems = [], catalog.trees.problems
+    monkeypatch.setattr(catalog.trees, "problems", lambda links: seen.append(links) or problems(links))
+    catalog.QUERIES["edge_problems"](spark, sf_dir)
+    assert seen[0].select("tree_id").distinct().count() == duck.execute("SELECT count(*) FROM part").fetchone()[0]
