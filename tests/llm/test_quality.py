@@ -1,28 +1,90 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratabranch.llm import quality
 
 
-def test_labels_are_met_and_posteriors_hold(spark, sf_dir):
+def brute(rows, prior):
+    """Posteriors and quality of rows (host, path, p) by the definition, one document at a time."""
+    n, mean = len(rows), sum(r[2] for r in rows) / len(rows)
+
+    def strength(groups, around):
+        top = bottom = 0.0
+        for key, ps in groups.items():
+            if len(ps) > 1:
+                own = sum(ps) / len(ps)
+                noise = (sum(p * p for p in ps) / len(ps) - own * own) / (len(ps) - 1)
+                top, bottom = top + len(ps) * ((own - around(key)) ** 2 - noise), bottom + len(ps)
+        if not bottom:
+            return 1e6
+        return min(1e6, max(1.0, mean * (1 - mean) / max(top / bottom, 1e-12) - 1))
+
+    hosts, paths = {}, {}
+    for h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    k_host = strength(hosts, lambda h: mean)
+    k_path = strength({k: v for k, v in paths.items() if len(hosts[k[0]]) > len(v)}, lambda k: sum(hosts[k[0]]) / len(hosts[k[0]]))
+    out = []
+    for h, q, p in rows:
+        at_host = (k_host * mean + sum(hosts[h]) - p) / (k_host + len(hosts[h]) - 1)
+        at_host = min(1 - 1e-6, max(1e-6, at_host))
+        at_path = (k_path * at_host + sum(paths[h, q]) - p) / (k_path + len(paths[h, q]) - 1)
+        at_path = min(1 - 1e-6, max(1e-6, at_path))
+        odds = math.log(p / (1 - p)) - math.log(prior / (1 - prior)) + math.log(at_path / (1 - at_path))
+        out.append((at_host, at_path, 1 / (1 + math.exp(-odds))))
+    return out
+
+
+def test_posteriors_match_brute_force_and_change_decisions(spark, sf_dir):
+    """Labels with noise make texts doubtful, and sites sorted by the label's kind make theirs tell."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    got = {r.doc_id: r for r in quality.report(docs, labels).collect()}
+    bad = labels.where("quality = 0").select("doc_id").withColumn("bad", F.lit(1))
+    sited = docs.join(bad, "doc_id", "left").withColumn("source", F.when(F.col("bad") == 1, F.lit("low")).when(F.col("doc_id") % 3 == 0, F.lit("high")).otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 9).cast("string")))).drop("bad")
+    noisy = labels.withColumn("quality", F.when(F.xxhash64("doc_id") % 3 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    model = quality.train(sited, noisy)
+    rows = quality.report(sited, noisy).collect()
+    want = brute([(r.host, r.path, r.p) for r in rows], model.prior)
+    for r, (at_host, at_path, q) in zip(rows, want):
+        assert (r.host_posterior, r.path_posterior, r.quality) == pytest.approx((at_host, at_path, q), rel=1e-6)
+        assert r.kept == (r.quality >= 0.5)
+    assert sum(r.kept != (r.p >= 0.5) for r in rows) > 5  # sites decide where texts are doubtful
+    lows = [r.path_posterior for r in rows if r.host == "low"]
+    assert max(lows) < min(r.path_posterior for r in rows if r.host == "high")
+
+
+def test_held_out_labels(spark):
+    """Learned from even ids, told on odd ones: of good quality, and toxic ones too."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.kept for r in quality.report(docs, labels.where("doc_id % 2 = 0")).collect()}
     assert len(got) == docs.count()
-    known = [(got[r.doc_id].kept, bool(r.quality)) for r in labels.collect()]
-    assert np.mean([a == b for a, b in known]) > 0.95
-    assert np.mean([a for a, b in known if b]) > 0.97
-    # Brute force of the shrinkage for one path, from the texts' own probabilities.
-    rows = list(got.values())
-    n = len(rows)
-    one = rows[7]
-    host = [r.p for r in rows if r.host == one.host]
-    path = [r.p for r in rows if r.path == one.path]
-    mean = sum(r.p for r in rows) / n
-    lo, hi = sorted([mean, (sum(host) - one.p) / (len(host) - 1)])
-    assert lo - 1e-9 <= one.host_posterior <= hi + 1e-9
-    if len(path) > 1:
-        lo, hi = sorted([one.host_posterior, (sum(path) - one.p) / (len(path) - 1)])
-        assert lo - 1e-9 <= one.path_posterior <= hi + 1e-9
+    odd = labels.where("doc_id % 2 = 1").collect()
+    good = [got[r.doc_id] for r in odd if r.quality and not r.toxic]
+    bad = [got[r.doc_id] for r in odd if not r.quality]
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
+    english = {r.doc_id for r in docs.where("lang = 'en'").collect()}
+    toxic = [got[r.doc_id] for r in odd if r.toxic and r.doc_id in english]
+    assert np.mean(toxic) < 0.1
+
+
+def test_lexicons_come_from_the_other_half(spark):
+    texts = [(True, k % 2 == 0, f"plain words {k} nastyword".encode()) for k in range(20)] + [(False, k % 2 == 0, f"plain words {k}".encode()) for k in range(400)]
+    texts += [(True, True, b"onlyhere again")] * 30  # equal texts count once
+    found = quality.lexicons(spark.createDataFrame(texts, "toxic boolean, fold boolean, text binary"))
+    assert all(b"nastyword" in x and b"nastyw" in x and b"plain" not in x and b"onlyhere" not in x for x in found.values())
+    none = quality.lexicons(spark.createDataFrame(texts, "toxic boolean, fold boolean, text binary").where("NOT toxic"))
+    assert set(none.values()) == {frozenset()}
+
+
+def test_many_sites_are_joined_without_broadcast(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    key = lambda rows: sorted((r.doc_id, r.kept, round(r.quality, 9)) for r in rows)
+    want = key(quality.report(docs, labels).collect())
+    monkeypatch.setattr(quality, "BROADCAST_SITES", 0)
+    assert key(quality.report(docs, labels).collect()) == want
 
 
 def test_sparse_sites_shrink_more(spark):
