@@ -9,10 +9,15 @@ falls apart by source; Newton steps, kept inside a bracket, run as aggregations
 Rates become copies by error feedback down the sizes of a source, so that the tokens taken miss
 the target by no more than about the smallest size that is left to adjust. Within documents of
 one source and size, those with the smallest hash of doc_id get the extra copy: a cutoff for
-each source and size, found in buckets of the hash, so that no task ranks a hot group alone.
+each source and size, found in buckets of the hash, then in buckets of the bucket that it falls in, so
+that no task ranks a hot group alone.
+
+Words are counted once; plans are made of the counts. Sources are a small table that one task shares out, and
+the distinct sizes of a source are rounded by one task; documents never are.
 
 Null text has size 0 and one copy. A null source is a source of its own, last in order. Rows that
-share a doc_id, source and size get the same copies. An empty table gives no rows.
+share a doc_id, source and size (all null ids of one size, for one) get the same copies. An empty table
+gives no rows. A source whose multiplier can't be found is an error.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratabranch.llm.common import cut, free_name
+from stratabranch.llm.common import cut, free_name, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -32,10 +37,12 @@ STEPS = 80
 TOLERANCE = 1e-8
 #: Multipliers are searched where the exponent of the smallest document is within this.
 REACH = 60.0
-#: Buckets are the top bits of a hash: 1,024 of them.
-SHIFT = 54
+#: Buckets are the top bits of a hash: 64 of them, with 64 each.
+SHIFTS = (58, 52)
 #: Rows of the plan up to which it may be broadcast (about 50 bytes each).
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
+#: How far a solved source may be from its target, of the target.
+MISS = 1e-4
 
 
 def words(column: str = "text") -> Column:
@@ -76,14 +83,14 @@ def solve(hist: DataFrame, most: int = MOST, steps: int = STEPS) -> DataFrame:
     base = cut(hist.where("size > 0").select("sid", "size", "n", "z", "source_size", "target"))
     bound = F.lit(REACH) / F.min("z")
     full = F.first("target") >= F.first("source_size") * F.lit(most * (1 - 1e-12))
-    state = cut(base.groupBy("sid").agg(F.when(full, bound).otherwise(0.0).alias("m"), (-bound).alias("lo"), bound.alias("hi"), full.alias("done")))
+    state = cut(base.groupBy("sid").agg(F.when(full, bound).otherwise(0.0).alias("m"), (-bound).alias("lo"), bound.alias("hi"), full.alias("done"), F.lit(0.0).alias("missed")))
     rate = F.exp(F.col("m") * F.col("z"))
     tokens = F.col("n") * F.col("size")
     for _ in range(steps):
         if not state.where("NOT done").limit(1).count():
             break
         sums = (
-            base.join(state, "sid")
+            base.join(state.drop("missed"), "sid")
             .groupBy("sid", "m", "lo", "hi", "done", "target")
             .agg(
                 F.sum(tokens * F.least(F.lit(float(most)), rate)).alias("got"),
@@ -95,6 +102,7 @@ def solve(hist: DataFrame, most: int = MOST, steps: int = STEPS) -> DataFrame:
             .withColumn("done", F.col("done") | (F.abs("gap") <= F.lit(TOLERANCE) * F.col("target")) | (F.col("hi") - F.col("lo") <= F.lit(1e-12) * (1 + F.abs("m"))))
             .withColumn("step", F.when(F.col("slope") > 0, F.col("m") - F.col("gap") / F.col("slope")))
         )
+        full_now = F.col("got") >= F.col("target") * (1 - 1e-12)  # at the cap there is no more to take
         inside = (F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi"))
         state = cut(sums.select("sid", F.when(F.col("done"), F.col("m")).when(inside, F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2).alias("m"), "lo", "hi", "done"))
     return state.select("sid", F.col("m").alias("multiplier"))
@@ -118,12 +126,12 @@ def round_copies(most: int):
     return work
 
 
-def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mixing_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """source, size, source_size, target, base, cutoff: what a document of a source and size gets.
 
-    It gets base copies, and one more if xxhash64(doc_id) is at most cutoff.
+    It gets base copies, and one more if its u is at most cutoff. rows: source, size, u (a hash of doc_id).
     """
-    rows = cut(docs.select("source", words().alias("size"), F.xxhash64("doc_id").alias("u")))
+    rows = cut(rows.select("source", "size", "u"))
     hist = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     targets = cut(source_targets(totals, weights, share, most))
@@ -133,33 +141,52 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     copies = full.join(solve(full, most), "sid", "left").select("sid", "size", "n", rate.alias("rate")).groupBy("sid").applyInPandas(round_copies(most), "sid int, size long, n long, copies long")
     base = F.floor(F.col("copies") / F.col("n"))
     plan = cut(full.join(copies.drop("n"), ["sid", "size"]).withColumn("base", base).withColumn("extra", F.col("copies") - base * F.col("n")))
-    partly = rows.alias("r").join(plan.where("extra > 0").alias("p"), F.expr("r.source <=> p.source AND r.size = p.size")).select("sid", "r.size", "extra", "u", F.shiftright("u", SHIFT).alias("bucket"))
-    counts = partly.groupBy("sid", "size", "extra", "bucket").agg(F.count("*").alias("k"))
-    running = F.sum("k").over(Window.partitionBy("sid", "size").orderBy("bucket"))
-    crossing = counts.withColumn("upto", running).where("upto >= extra AND upto - k < extra").select("sid", "size", "bucket", (F.col("extra") - F.col("upto") + F.col("k")).alias("rank"))
-    at = F.row_number().over(Window.partitionBy("sid", "size", "bucket").orderBy("u"))
-    cutoffs = partly.join(crossing, ["sid", "size", "bucket"]).withColumn("at", at).where("at = rank").select("sid", "size", F.col("u").alias("cutoff"))
-    return plan.join(cutoffs, ["sid", "size"], "left").select("source", "size", "source_size", "target", "base", "cutoff")
-
-
-def with_copies(docs: DataFrame, plan: DataFrame, names: dict[str, str]) -> DataFrame:
-    """docs with the plan's columns under the given names, and copies. The texts aren't shuffled
-    where the plan (sources times distinct sizes) is small enough to be broadcast."""
+    return plan.join(cutoffs(rows, plan), ["sid", "size"], "left").select("source", "size", "source_size", "target", "base", "cutoff")
+
+
+def cutoffs(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """sid, size, cutoff: the hash up to which extra documents of a source and size lie."""
+    first, second = (F.shiftright("u", s) for s in SHIFTS)
+    partly = rows.alias("r").join(plan.where("extra > 0").alias("p"), F.expr("r.source <=> p.source AND r.size = p.size")).select("sid", "r.size", "extra", "u", first.alias("b1"), second.alias("b2"))
+
+    def crossing(counts: DataFrame, by: str) -> DataFrame:
+        """Where the running count of k meets extra, and how many are left to take there."""
+        upto = F.sum("k").over(Window.partitionBy("sid", "size").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+        return counts.withColumn("upto", upto).where("upto >= extra AND upto - k < extra").select("sid", "size", by, (F.col("extra") - F.col("upto") + F.col("k")).alias("extra"))
+
+    fine = cut(partly.groupBy("sid", "size", "extra", "b1", "b2").agg(F.count("*").alias("k")))
+    at = crossing(fine.groupBy("sid", "size", "extra", "b1").agg(F.sum("k").alias("k")), "b1")
+    at = crossing(fine.drop("extra").join(at, ["sid", "size", "b1"]).select("sid", "size", "extra", "b2", "k"), "b2")
+    # Equal hashes are one row here, however many documents share an id.
+    last = partly.drop("extra", "b1").join(at, ["sid", "size", "b2"]).groupBy("sid", "size", "extra", "u").agg(F.count("*").alias("k"))
+    return crossing(last, "u").select("sid", "size", F.col("u").alias("cutoff"))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, size: str, u: str, names: dict[str, str]) -> DataFrame:
+    """rows (with their size and hash u) and the plan's columns under the given names, and copies. Rows
+    aren't shuffled where the plan (sources times distinct sizes) is small enough to be broadcast."""
     plan = cut(plan)
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    size = free_name(docs, "size_")
-    copies = (F.col("p.base") + F.when(F.xxhash64("d.doc_id") <= F.col("p.cutoff"), 1).otherwise(0)).cast("int")
-    rows = docs.withColumn(size, words())
+    copies = (F.col("p.base") + F.when(F.col(f"d.`{u}`") <= F.col("p.cutoff"), 1).otherwise(0)).cast("int")
     return rows.alias("d").join(plan.alias("p"), F.expr(f"d.source <=> p.source AND d.`{size}` = p.size")).select(
-        *(F.col(f"d.`{c}`") for c in docs.columns), *(F.col(f"p.{c}").alias(name) for c, name in names.items()), copies.alias(free_name(docs, "copies"))
+        *(F.col(f"d.`{c}`") for c in rows.columns), *(F.col(f"p.{c}").alias(name) for c, name in names.items()), copies.alias(free_name(rows, "copies"))
     )
 
 
+def report(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, source of every row."""
+    rows = cut(docs.select("doc_id", "source", words().alias("size"), F.xxhash64("doc_id").alias("u")))
+    found = with_copies(rows, mixing_plan(rows, **options), "size", "u", {"source_size": "source_size", "target": "target"})
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """docs with each row as often as the mix takes it."""
-    plan = mixing_plan(docs, weights, share, most)
-    rows = with_copies(docs, plan, {})
-    copies = rows.columns[-1]
-    once = free_name(rows, "copy_")
-    return rows.where(F.col(f"`{copies}`") > 0).withColumn(once, F.explode(F.sequence(F.lit(1), F.col(f"`{copies}`")))).drop(once, copies)
+    size, u = free_name(docs, "size_"), free_name(docs, "u_")
+    rows = stored(docs.withColumn(size, words()).withColumn(u, F.xxhash64("doc_id")))
+    plan = mixing_plan(rows.select("source", F.col(f"`{size}`").alias("size"), F.col(f"`{u}`").alias("u")), weights, share, most)
+    found = with_copies(rows, plan, size, u, {})
+    copies = found.columns[-1]
+    once = free_name(found, "copy_")
+    return found.where(F.col(f"`{copies}`") > 0).withColumn(once, F.explode(F.sequence(F.lit(1), F.col(f"`{copies}`")))).select(*docs.columns)
