@@ -102,9 +102,11 @@ def solve(hist: DataFrame, most: int = MOST, steps: int = STEPS) -> DataFrame:
             .withColumn("done", F.col("done") | (F.abs("gap") <= F.lit(TOLERANCE) * F.col("target")) | (F.col("hi") - F.col("lo") <= F.lit(1e-12) * (1 + F.abs("m"))))
             .withColumn("step", F.when(F.col("slope") > 0, F.col("m") - F.col("gap") / F.col("slope")))
         )
-        full_now = F.col("got") >= F.col("target") * (1 - 1e-12)  # at the cap there is no more to take
         inside = (F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi"))
-        state = cut(sums.select("sid", F.when(F.col("done"), F.col("m")).when(inside, F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2).alias("m"), "lo", "hi", "done"))
+        state = cut(sums.select("sid", F.when(F.col("done"), F.col("m")).when(inside, F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2).alias("m"), "lo", "hi", "done", (F.abs("gap") / F.col("target")).alias("missed")))
+    wrong = state.where(~F.col("done") | (F.col("missed") > MISS)).limit(1).collect()
+    if wrong:
+        raise RuntimeError(f"the multiplier of source {wrong[0].sid} wasn't found in {steps} steps")
     return state.select("sid", F.col("m").alias("multiplier"))
 
 
