@@ -12,18 +12,63 @@ ROWS = [(1, "Hello world, hello again!"), (2, None), (3, ""), (4, "long text " *
 
 
 def expected(rows):
+    """(doc_id, ids) of every row."""
     t = packing.tokenizer(packing.VOCABULARY)
-    return {d: t.coder.encode_ordinary(x or "") + [packing.END] for d, x in rows}
+    return sorted(((d, t.coder.encode_ordinary(x or "") + [packing.END]) for d, x in rows), key=str)
+
+
+def unpacked(packed):
+    return sorted(((r.doc_id, np.frombuffer(r.ids, "<u2").tolist()) for r in packing.unpack(packed).collect()), key=str)
 
 
 def test_round_trip(spark):
-    rows = [r for r in ROWS if r[0] not in (6, None)]
+    """Null and repeated ids too: each row comes back by itself."""
+    rows = ROWS * 2
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS row"), width=64)
-    back = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in packing.unpack(out).collect()}
-    want = expected(rows)
-    assert back == want
+    back = unpacked(out)
+    assert back == expected(rows)
     t = packing.tokenizer(packing.VOCABULARY)
-    assert {d: t.coder.decode(ids[:-1]) for d, ids in back.items()} == {d: x or "" for d, x in rows}
+    assert sorted((t.coder.decode(ids[:-1]) for _, ids in back)) == sorted(x or "" for _, x in rows)
+
+
+def test_small_tasks_leave_no_more_room(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fill = {}
+    for tasks in (1, 40):
+        rows = packing.pack(docs.repartition(tasks)).select("n_tokens", "part", "row").collect()
+        assert len({(r.part, r.row) for r in rows}) == len(rows)
+        fill[tasks] = sum(r.n_tokens for r in rows) / (packing.WIDTH * len(rows))
+    assert fill[40] > 0.99 * fill[1]
+
+
+def test_small_buffers(spark, sf_dir, monkeypatch):
+    """Rows with room wait for the next buffer, and nothing is lost."""
+    monkeypatch.setattr(packing, "BUFFER_IDS", 3000)
+    docs = [(k, " ".join(f"w{j}" for j in range(k % 70))) for k in range(400)]
+    buffer, got = packing.Buffer(0, 128, 2), []
+    for k, text in docs:
+        ids = packing.tokenizer(packing.VOCABULARY).ids(text)[:256]
+        buffer.add((k, k, 0, ids)) if ids else None
+        if buffer.held >= 6000:
+            got += [r for b in buffer.flush() for r in b.to_pylist()]
+    tail = [r for b in buffer.flush(last=True, hand_on=True) for r in b.to_pylist()]
+    assert not any(r["left_open"] for r in got) and {r["row"] for r in got + tail} == set(range(len(got + tail)))
+    best = packing.best_fit([min(128, len(packing.tokenizer(packing.VOCABULARY).ids(text)) // 2) for _, text in docs if text], 128)
+    assert len(got + tail) <= 1.06 * len(best)  # not much worse than all at once
+    assert sorted(k for r in got + tail for k in r["doc_keys"]) == [k for k, text in docs if text]
+
+
+def test_matrices_are_written(spark, tmp_path):
+    packed = packing.pack(spark.createDataFrame(ROWS, "doc_id long, text string"), width=128)
+    files = packing.write_matrices(packed, str(tmp_path / "out"), 128, rows=7).collect()
+    ids = [np.load(f.path) for f in files if f.path.endswith(".ids.npy")]
+    rows = packed.collect()
+    assert sorted(x.tobytes() for m in ids for x in m) == sorted(bytes(r.input_ids) for r in rows)
+    assert sum(len(np.load(f.path)) - 1 for f in files if ".cu_seqlens." in f.path) == sum(len(r.doc_ids) for r in rows)
+    for f in files:
+        assert f.bytes == (tmp_path / "out" / f.path.rsplit("/", 1)[1]).stat().st_size
+    assert len(list((tmp_path / "out").iterdir())) == len(files)  # nothing half-written is left
+    assert packing.write_matrices(packed.limit(0), str(tmp_path / "none"), 128).count() == 0
 
 
 def test_rows_are_well_formed(spark):
@@ -51,8 +96,7 @@ def test_blocks_hold_the_matrix(spark):
 
 def test_documents_all_there(spark, sf_dir):
     t = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
-    back = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in packing.unpack(packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))).collect()}
-    assert back == expected(list(zip(t["doc_id"], t["text"])))
+    assert unpacked(packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))) == expected(list(zip(t["doc_id"], t["text"])))
 
 
 def test_empty(spark):
