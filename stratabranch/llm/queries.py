@@ -84,11 +84,11 @@ p AS (
   SELECT page_id, num, file, strlen(record) AS length, sha256(record) AS sha256 FROM r
 ), o AS (
   SELECT *, row_number() OVER w - 1 AS ordinal, CAST(sum(length) OVER w AS BIGINT) - length AS offset,
-         CAST(sum(CASE WHEN num % 211 = 7 THEN 0 ELSE length END) OVER w AS BIGINT) - length AS replica
+         CAST(sum(CASE WHEN num % 16001 = 8920 THEN 0 ELSE length END) OVER w AS BIGINT) - length AS replica
   FROM a WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256 ROWS UNBOUNDED PRECEDING)
 )
 SELECT page_id, file, ordinal, "offset", length, sha256,
-       CASE WHEN num % 211 = 7 THEN 'missing' WHEN num % 97 = 5 THEN 'corrupt'
+       CASE WHEN num % 16001 = 8920 THEN 'missing' WHEN num % 251 = 75 THEN 'corrupt'
             WHEN replica <> "offset" THEN 'moved' ELSE 'ok' END AS status
 FROM o
 """,
