@@ -21,7 +21,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    places = F.array_join(F.transform("matches", lambda m: F.concat_ws("+", m["at"].cast("string"), m["length"].cast("string"))), ",")
+    return found.withColumn("n_matches", F.size("matches").cast("long")).withColumn("matches", places)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +124,30 @@ WITH lower_a_to_z AS (
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id
+), same AS (
+  SELECT doc_id, item_id, r, p.i AS p, q.i AS q
+  FROM (SELECT doc_id, i, array_to_string(w[i : i + 3], ' ') AS s FROM pos WHERE i + 3 <= len(w)) p
+  JOIN (SELECT item_id, r, i, array_to_string(w[i : i + 3], ' ') AS s
+        FROM (SELECT item_id, r, w, unnest(range(1, len(w) - 2)) AS i
+              FROM (SELECT CAST(item_id AS VARCHAR) AS item_id, row_number() OVER () AS r, w FROM b WHERE len(w) >= 4))) q ON p.s = q.s
+), runs AS (
+  SELECT *, p - row_number() OVER (PARTITION BY doc_id, r, p - q ORDER BY p) AS run FROM same
+), far AS (
+  SELECT doc_id, item_id, p, q, max(p) OVER (PARTITION BY doc_id, r, p - q, run) - p + 4 AS n FROM runs
+), best AS (
+  SELECT doc_id, item_id, p, q, n FROM far QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY n DESC, item_id, q) = 1
+), maximal AS (
+  SELECT * FROM best
+  QUALIFY NOT coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) = p - 1 AND lag(n) OVER (PARTITION BY doc_id ORDER BY p) > n, false)
+), top AS (
+  SELECT doc_id, max(n) AS longest, arg_min(p, (-n, p)) - 1 AS longest_at, arg_min(item_id, (-n, p)) AS longest_item,
+         arg_min(q, (-n, p)) - 1 AS longest_item_at, count(*) AS n_matches, string_agg((p - 1) || '+' || n, ',' ORDER BY p) AS matches
+  FROM maximal GROUP BY doc_id
 )
 SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM lower_a_to_z l LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
+       coalesce(longest, 0) AS longest, longest_at, longest_item, longest_item_at, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches
+FROM lower_a_to_z l LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN top USING (doc_id)
 """,
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
 import pyarrow.parquet as pq
 
-from stratabranch.llm import decontam
+from stratabranch.llm import decontam, queries
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -33,6 +34,28 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
+def matches(docs, items, shortest=4):
+    """Per row of docs, its maximal matches by comparing every place with every place."""
+    rows = [(str(k), words(t)) for k, t in items if k is not None]
+    out = []
+    for d, text in docs:
+        w, best = words(text), {}
+        for p in range(len(w)):
+            for k, x in rows:
+                for q in range(len(x)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(x) and w[p + n] == x[q + n]:
+                        n += 1
+                    if n >= shortest and (-n, k, q) < best.get(p, (0,)):
+                        best[p] = (-n, k, q)
+        out.append((d, [(p, -n, k, q) for p, (n, k, q) in sorted(best.items()) if p - 1 not in best or -best[p - 1][0] <= -n]))
+    return sorted(out, key=str)
+
+
+def got_matches(df):
+    return sorted(((r.doc_id, [tuple(m) for m in r.matches]) for r in df.collect()), key=str)
+
+
 def got(df):
     return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect()), key=str)
 
@@ -49,6 +72,24 @@ def test_random_words_match_brute_force(spark):
     docs += [docs[0], docs[0]]
     d, b = frames(spark, docs, items)
     assert got(decontam.report(d, b)) == brute(docs, items)
+    small = [x for x in docs if x[0] != 72]
+    assert got_matches(decontam.report(d.where("doc_id IS NULL OR doc_id <> 72"), b)) == matches(small, items)
+
+
+def test_longest_match_of_every_test_suffix(spark):
+    r = random.Random(8)
+    some = lambda n: " ".join(r.choice(["a", "b", "c", "dd"]) for _ in range(n))
+    items, docs = [(i, some(12)) for i in range(6)], [(i, some(30)) for i in range(20)] + [(9, None)]
+    want = {}
+    for k, text in items:
+        x = words(text)
+        for q in range(len(x)):
+            n = [max((m for m in range(len(x) - q + 1) if w[p : p + m] == x[q : q + m]), default=0) for w in (words(t) for _, t in docs) for p in range(len(w))]
+            if max(n) >= 4:
+                want[str(k), q] = (max(n), n.count(max(n)))
+    d, b = frames(spark, docs, items)
+    got = {(x.item_id, x.item_at): (x.length, x.places) for x in decontam.item_matches(d.repartition(5), b).collect()}
+    assert got == want
 
 
 def test_blocks_of_the_benchmark_agree_with_the_whole(spark, monkeypatch):
@@ -59,7 +100,24 @@ def test_blocks_of_the_benchmark_agree_with_the_whole(spark, monkeypatch):
     assert whole == brute(docs, items)
     one = decontam.benchmark_blocks
     monkeypatch.setattr(decontam, "benchmark_blocks", lambda x: one(x, words=25))
-    assert got(decontam.report(d, b)) == whole
+    assert got(decontam.report(d, b)) == whole and got_matches(decontam.report(d, b)) == matches(docs, items)
+
+
+def test_matches_shorter_than_a_window_and_very_long_ones():
+    """Of any length, in time that grows with the item and not with its square."""
+    block = decontam.Block.build([("1", b"one two three four five six seven eight nine ten"), ("2", b"four five six seven eight other words at all")], 8)
+    (f,) = decontam.search_shard([b"x two three four five six seven eight y four five six seven"], block)
+    assert f.matches == [(1, 7, "1", 1), (9, 4, "1", 3)] and not f.items and not len(f.hit)
+    (f,) = decontam.search_shard([b"two three four"], block, shortest=2)
+    assert f.matches == [(0, 3, "1", 1)]
+    for n in (1000, 50_000):
+        book = " ".join(f"w{k}" for k in range(n)).encode()
+        began = time.process_time()
+        (f,) = decontam.search_shard([b"before " + book + b" after"], decontam.Block.build([("9", book)], 8))
+        assert f.matches == [(1, n, "9", 0)] and len(f.hit) == n
+        assert time.process_time() - began < 10
+    (f,) = decontam.search_shard([b"a " * 20_000], decontam.Block.build([("1", b"a " * 900)], 8))
+    assert len(f.hit) == 20_000 and f.matches[0] == (0, 900, "1", 0)
 
 
 def test_longest_match_and_removal(spark):
@@ -88,3 +146,14 @@ def test_documents(spark, sf_dir):
     docs, items = (pq.read_table(f"{sf_dir}/{t}.parquet").to_pydict() for t in ("documents", "benchmark"))
     found = decontam.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     assert got(found) == brute(list(zip(docs["doc_id"], docs["text"])), list(zip(items["item_id"], items["text"])))
+
+
+def test_the_query_agrees_with_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = queries.op3_decontam(spark, sf_dir)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES['op3_decontam']})").fetchall()
+    assert sorted((tuple(r) for r in df.collect()), key=str) == sorted(want, key=str)
