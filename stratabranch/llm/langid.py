@@ -1,6 +1,7 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads windows of bytes in both directions, labels every position with probabilities
+The network reads windows of 96 bytes in both directions, each from an empty state (read whole, texts get the
+same languages: the tests hold one against the other), labels every position with probabilities
 of the languages, and a document's probabilities are the mean over all its positions. It is
 trained in numpy by backpropagation through time on windows from a bounded sample of labelled
 documents; prediction covers every byte of every text. The sample, the order of training and the
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,24 +196,36 @@ def sample_windows(docs: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[bytes,
     return [(bytes(r.part), r.lang) for r in parts.orderBy("h", "doc", "k", "lang", "part").limit(TRAIN_WINDOWS).collect()]
 
 
+def spans_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of texts, SIDE_BY_SIDE at a time, and the index of each one's text. A window that a text
+    ends in is filled up with 256."""
+    parts, owners, held = [], [], 0
+    for k, text in enumerate(texts):
+        data = np.frombuffer(text, np.uint8)
+        at, n = 0, -(-len(data) // SPAN)
+        while at < n:
+            take = min(n - at, SIDE_BY_SIDE - held)
+            part = np.full(take * SPAN, 256, np.intp)
+            piece = data[at * SPAN : (at + take) * SPAN]
+            part[: len(piece)] = piece
+            parts.append(part.reshape(-1, SPAN))
+            owners.append(np.full(take, k))
+            at, held = at + take, held + take
+            if held == SIDE_BY_SIDE:
+                yield np.concatenate(parts), np.concatenate(owners)
+                parts, owners, held = [], [], 0
+    if held:
+        yield np.concatenate(parts), np.concatenate(owners)
+
+
 def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Mean probabilities of each text (not empty) over all its bytes."""
-    n = np.array([len(t) for t in texts], np.int64)
-    per = -(-n // SPAN)
-    owner = np.repeat(np.arange(len(texts)), per)
-    first = np.cumsum(per) - per
-    x = np.full((per.sum(), SPAN), 256, np.intp)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    start = np.cumsum(n) - n
-    at = np.arange(len(flat)) - np.repeat(start, n)
-    x.reshape(-1)[np.repeat(first * SPAN, n) + at] = flat
+    """Mean probabilities of each text (not empty) over all its bytes; a slice of windows is held at a time."""
     sums = np.zeros((len(texts), len(net.names)))
-    for k in range(0, len(x), SIDE_BY_SIDE):
-        part = x[k : k + SIDE_BY_SIDE].T
-        p = net.probabilities(part)
-        p *= (part < 256)[:, None, :]
-        np.add.at(sums, owner[k : k + SIDE_BY_SIDE], p.sum(axis=0).T)
-    return sums / n[:, None]
+    for x, owner in spans_of(texts):
+        p = net.probabilities(x.T)
+        p *= (x.T < 256)[:, None, :]
+        np.add.at(sums, owner, p.sum(axis=0).T)
+    return sums / np.array([len(t) for t in texts])[:, None]
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:

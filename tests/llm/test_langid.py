@@ -1,3 +1,5 @@
+import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -43,6 +45,71 @@ def test_pooling_reads_every_byte():
     assert own.sum() == pytest.approx(1, rel=1e-5)
 
 
+def forward(net, text):
+    """Mean probabilities by the definition: scalars, a byte and a cell at a time, both ways, in each window."""
+    cells, sig = net.bias.shape[1], lambda v: 1 / (1 + math.exp(-v))
+    total = [0.0] * len(net.names)
+    for at in range(0, len(text), langid.SPAN):
+        # The last window is filled up with the sign for no byte, which is read too but not pooled.
+        span = [*text[at : at + langid.SPAN]]
+        span += [256] * (langid.SPAN - len(span))
+        states = []
+        for way in (0, 1):
+            h, seen = [0.0] * cells, {}
+            table, u, b = net.table[way], net.state[way], net.bias[way]
+            for t in range(len(span)) if way == 0 else reversed(range(len(span))):
+                into = [sum(float(u[g, k]) * h[k] for k in range(cells)) for g in range(3 * cells)]
+                r = [sig(table[g, span[t]] + into[g]) for g in range(cells)]
+                z = [sig(table[cells + g, span[t]] + into[cells + g]) for g in range(cells)]
+                c = [math.tanh(table[2 * cells + g, span[t]] + r[g] * (into[2 * cells + g] + b[g])) for g in range(cells)]
+                h = [z[g] * h[g] + (1 - z[g]) * c[g] for g in range(cells)]
+                seen[t] = h
+            states.append(seen)
+        for t, byte in enumerate(span):
+            if byte < 256:
+                both = states[0][t] + states[1][t]
+                e = [math.exp(sum(float(w) * v for w, v in zip(row, both)) + o) for row, o in zip(net.out, net.out_bias)]
+                total = [a + x / sum(e) for a, x in zip(total, e)]
+    return [a / len(text) for a in total]
+
+
+def test_forward_pass_matches_a_loop_over_bytes():
+    net = langid.Network.fresh(["a", "b", "c"], seed=3)
+    net.bias[:] = np.random.default_rng(1).normal(0, 0.5, net.bias.shape)
+    texts = [b"x", "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich. ".encode() * 4, bytes(range(1, 97)), bytes(range(256)) * 2]
+    for text, p in zip(texts, langid.pooled(net, texts)):
+        assert p == pytest.approx(forward(net, text), abs=2e-5)
+
+
+def test_memory_is_bounded(monkeypatch):
+    """Slices cut texts anywhere without changing what is pooled; a long text is held in slices."""
+    net = langid.Network.fresh(["a", "b"], seed=3)
+    r = np.random.default_rng(2)
+    texts = [r.integers(0, 256, n, np.uint8).tobytes() for n in (1, 96, 97, 5000, 12, 96 * 40)]
+    whole = langid.pooled(net, texts)
+    monkeypatch.setattr(langid, "SIDE_BY_SIDE", 7)
+    assert langid.pooled(net, texts) == pytest.approx(whole, rel=1e-4)
+    monkeypatch.undo()
+    text = b"a" * 20_000_000
+    tracemalloc.start()
+    slices = sum(len(x) for x, _ in langid.spans_of([text]))
+    assert slices == -(-20_000_000 // langid.SPAN) and tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
+
+
+def test_windows_tell_what_whole_texts_tell(spark, sf_dir, monkeypatch):
+    """Reading 96 bytes at a time from an empty state loses nothing against reading each text through."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = langid.train(langid.sample_windows(docs))
+    rows = [(r.lang, r.text.encode()[:20_000]) for r in docs.where(langid.held_out()).collect() if r.text]
+    right = {}
+    for span in (96, 20_000):
+        monkeypatch.setattr(langid, "SPAN", span)
+        monkeypatch.setattr(langid, "SIDE_BY_SIDE", 64)
+        right[span] = np.mean([net.names[int(langid.pooled(net, [t])[0].argmax())] == lang for lang, t in rows])
+    assert right[96] > 0.9 and right[96] >= right[20_000] - 0.02
+
+
 def test_held_out_accuracy(spark, sf_dir):
     t = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
     lang = dict(zip(t["doc_id"], t["lang"]))
