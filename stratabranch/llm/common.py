@@ -33,10 +33,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which outlives executors; one of our own where it is unset."""
+    """The folder of spark.checkpoint.dir, which outlives executors. Where it is unset, one of our own on a
+    local master; on a cluster that is a mistake, since no folder of this machine is seen by the others."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoints"))
     return context.getCheckpointDir()
 
 
@@ -46,13 +50,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that `stored` wrote and `release` hasn't removed.
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written as Parquet to the shared folder and read again; for rows with texts."""
     folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    _STORED.append(folder)
     return df.sparkSession.read.parquet(folder)
 
 
+def stored_folders() -> frozenset[str]:
+    return frozenset(_STORED)
+
+
+def release(spark: SparkSession, keep: DataFrame, before: frozenset[str]) -> None:
+    """Remove the folders that `stored` wrote since it had written those of before, but for those that keep
+    reads. For callers that know that nothing else reads them any more."""
+    needed = keep.inputFiles()
+    for folder in [x for x in _STORED if x not in before]:
+        if not any(folder.rsplit("/", 1)[1] in x for x in needed):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _STORED.remove(folder)
+
+
 def over_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str
 ) -> DataFrame:

@@ -10,7 +10,7 @@ compressed keep bitmaps for each document, not text.
 
 Null or empty text is one empty line. A document is a doc_id: rows that share one count as one
 document, each row has its own bitmap by its text. A null doc_id sorts after all others, and all
-rows that have it count as one document. Other columns aren't touched. No rows in, no rows out.
+rows that have it count as one document; so do the largest long and null. Other columns aren't touched. No rows in, no rows out.
 """
 
 from __future__ import annotations
