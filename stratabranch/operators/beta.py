@@ -2,7 +2,8 @@
 
 A pair's shared length doesn't depend on the neighbourhood that asks for it, so every unordered
 pair of sites that meet in some neighbourhood is computed once and then joined to its focal sites.
-adj: focal, member (site ids; the focal site is a member of its own).
+adj: focal, member (site ids; the focal site is a member of its own). Totals and series prune trees
+and presence to the species that both have; what is below them takes such input.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratabranch.operators import indices
+from stratabranch.operators import indices, slicing
 from stratabranch.session import settle
 
 COMPONENTS = ("sorensen", "turnover", "nestedness")
@@ -49,14 +50,13 @@ def neighbourhoods(edges: DataFrame, presence: DataFrame, adj: DataFrame, weight
     """What every variant starts from: membership, lengths (divided by ranges if weighted), each site's
     total, pairs, and focal rows with status."""
     member = settle(indices.membership(edges, presence))
-    adj = settle(adj)
     lengths = edges.select("tree_id", "edge_id", "length")
     if weighted:
-        lengths = settle(indices.weighted_contribution(lengths.withColumnRenamed("length", "c"), member).withColumnRenamed("c", "length"))
+        lengths = indices.weighted_contribution(lengths.withColumnRenamed("length", "c"), member).withColumnRenamed("c", "length")
     sites = adj.select(F.col("member").alias("site_id")).distinct()
     tree_ids = edges.select("tree_id").distinct()
     everyone = tree_ids.crossJoin(sites)
-    own = settle(everyone.join(member.join(lengths, ["tree_id", "edge_id"]).groupBy("tree_id", "site_id").agg(F.sum("length").alias("x")), ["tree_id", "site_id"], "left").fillna(0.0, ["x"]))
+    own = everyone.join(member.join(lengths, ["tree_id", "edge_id"]).groupBy("tree_id", "site_id").agg(F.sum("length").alias("x")), ["tree_id", "site_id"], "left").fillna(0.0, ["x"])
     local = member.join(adj.select("focal", F.col("member").alias("site_id")), "site_id")
     united = local.select("tree_id", "focal", "edge_id").distinct().join(lengths, ["tree_id", "edge_id"]).groupBy("tree_id", "focal").agg(F.sum("length").alias("united"))
     held = local.groupBy("tree_id", "focal").agg(F.count("*").alias("held"))
@@ -70,11 +70,11 @@ def neighbourhoods(edges: DataFrame, presence: DataFrame, adj: DataFrame, weight
         .otherwise("ok")
     )
     focal = tree_ids.crossJoin(n_members).join(n_edges, "tree_id").join(held, ["tree_id", "focal"], "left").join(united, ["tree_id", "focal"], "left").join(sums, ["tree_id", "focal"], "left").select("tree_id", "focal", status.alias("status"), (F.col("sum_x") - F.coalesce("united", F.lit(0.0))).alias("mixed"))
-    groups = settle(focal_pairs(adj))
+    groups = focal_pairs(adj)
     pairs = groups.select("i", "j").distinct()
-    shared_edges = settle(pair_edges(member, pairs))
+    shared_edges = pair_edges(member, pairs)
     shared = shared_edges.join(lengths, ["tree_id", "edge_id"]).groupBy("tree_id", "i", "j").agg(F.sum("length").alias("a"))
-    return member, lengths, own, settle(focal), groups, pairs, shared_edges, settle(_with_pairs(pairs, shared, own))
+    return member, focal, groups, pairs, shared_edges, settle(_with_pairs(pairs, shared, own))
 
 
 def _domain(name: str) -> str:
@@ -85,7 +85,8 @@ def _domain(name: str) -> str:
 
 def totals(edges: DataFrame, presence: DataFrame, adj: DataFrame, component: str = "sorensen", approach: str = "multisite", weighted: bool = False, domain: str = "mixed") -> DataFrame:
     """tree_id, focal, pb, status of every neighbourhood."""
-    _, _, _, focal, groups, _, _, pairs = neighbourhoods(edges, presence, adj, weighted)
+    edges, presence, _ = indices.align(edges, presence)
+    _, focal, groups, _, _, pairs = neighbourhoods(edges, presence, adj, weighted)
     found = _totals(focal, groups, pairs, component, approach, domain)
     ok = F.col("status") == "ok"
     return found.select("tree_id", "focal", F.when(ok, F.col("pb")).alias("pb"), F.when(ok & F.col("pb").isNull(), "zero_denominator").otherwise(F.col("status")).alias("status"))
@@ -105,15 +106,21 @@ def _totals(focal: DataFrame, groups: DataFrame, pairs: DataFrame, component: st
     return focal.join(means, ["tree_id", "focal"], "left").withColumn("shared", F.col("a")).withColumn("pb", value)
 
 
+def series(edges: DataFrame, presence: DataFrame, adj: DataFrame, n_slices: int = 100, component: str = "sorensen", approach: str = "multisite", weighted: bool = False, domain: str = "mixed", criterion: str = "time", allow_non_ultrametric: bool = False) -> DataFrame:
+    """per_slice of trees and presence as they come."""
+    edges, presence, _ = indices.align(edges, presence)
+    w = slicing.windows(edges, n=n_slices, criterion=criterion, allow_non_ultrametric=allow_non_ultrametric)
+    return per_slice(edges, presence, adj, slicing.contribution(edges, w), w, component, approach, weighted, domain)
+
+
 def per_slice(edges: DataFrame, presence: DataFrame, adj: DataFrame, contributions: DataFrame, window_table: DataFrame, component: str = "sorensen", approach: str = "multisite", weighted: bool = False, domain: str = "mixed", keys: tuple[str, ...] = ()) -> DataFrame:
     """tree_id, focal, j, series, value (series over its sum), compatible (series over the total), total,
-    status, normalisation. Numerators are a slice's, denominators the whole tree's."""
-    member, _, _, focal, groups, pairs, shared_edges, whole = neighbourhoods(edges, presence, adj, weighted)
-    c = settle(indices.weighted_contribution(contributions, member) if weighted else contributions)
+    status, normalisation. Numerators are a slice's, denominators the whole tree's. The input is aligned."""
+    member, focal, groups, pairs, shared_edges, whole = neighbourhoods(edges, presence, adj, weighted)
+    c = indices.weighted_contribution(contributions, member) if weighted else contributions
     on = ["tree_id", *keys, "j"]
     sites = adj.select(F.col("member").alias("site_id")).distinct()
     own = window_table.select(*on).crossJoin(sites).join(member.join(c, ["tree_id", "edge_id"]).groupBy(*on, "site_id").agg(F.sum("c").alias("x")), [*on, "site_id"], "left").fillna(0.0, ["x"])
-    own = settle(own)
     # The pair's second site is called j as well as the slice: keep them apart.
     se = shared_edges.select("tree_id", "i", F.col("j").alias("k"), "edge_id")
     sliced = se.join(c, ["tree_id", "edge_id"]).groupBy(*on, "i", "k").agg(F.sum("c").alias("a"))
@@ -122,7 +129,6 @@ def per_slice(edges: DataFrame, presence: DataFrame, adj: DataFrame, contributio
     a = F.coalesce("a", F.lit(0.0))
     parts = first.join(kp, "i").join(second, [*on, "k"]).join(sliced, [*on, "i", "k"], "left").select(*on, "i", "k", (F.col("xi") + F.col("xk") - 2 * a).alias("bc_s"), (F.least("xi", "xk") - a).alias("mn_s"))
     total = _totals(focal, groups, whole, component, approach, domain).select("tree_id", "focal", "status", "shared", "bc", "mn", "pb")
-    total = settle(total)
     local = groups.select("focal", "i", F.col("j").alias("k")).join(parts, ["i", "k"])
     if approach == "multisite":
         sums = local.groupBy(*on, "focal").agg(F.sum("bc_s").alias("bc_s"), F.sum("mn_s").alias("mn_s")).join(total, ["tree_id", "focal"])

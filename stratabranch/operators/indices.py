@@ -12,7 +12,7 @@ from stratabranch.session import settle
 def align(edges: DataFrame, presence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Trees and presence (site_id, species) over the species that both have, and a report
     (tree_id, action, n). Presence comes back keyed by tree_id. Trees of under two shared species are
-    reported as rejected and don't come out. Both come back checkpointed: they are read
+    reported as rejected and don't come out. The trees come back checkpointed: they are read
     several times.
     """
     species = presence.select(F.col("species").alias("label")).distinct()
@@ -23,10 +23,20 @@ def align(edges: DataFrame, presence: DataFrame) -> tuple[DataFrame, DataFrame,
     report = counts.select("tree_id", F.inline(F.array(*(F.struct(F.lit(a).alias("action"), x.cast("long").alias("n")) for a, x in actions))))
     keep = marked.where("_hit = 1").select("tree_id", "label")
     pruned = settle(trees.prune(edges, keep, leave_whole=True))
-    kept = settle(pruned.where("is_tip").select("tree_id", F.col("label").alias("species")).join(presence, "species").select("tree_id", "site_id", "species"))
+    kept = pruned.where("is_tip").select("tree_id", F.col("label").alias("species")).join(presence, "species").select("tree_id", "site_id", "species")
     return pruned, kept, report
 
 
+def matched(edges: DataFrame, presence: DataFrame) -> DataFrame:
+    """presence over the tips of the trees, without pruning: tips without a species count as absent, species
+    without a tip go. Where both are left over, names don't fit, and that is an error."""
+    bad = unmatched(edges, presence).where("missing > 0 AND extra > 0").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.tree_id}: {r.missing} tips without a species and {r.extra} species without a tip" for r in bad))
+    tips = edges.where("is_tip").select(F.col("label").alias("species")).distinct()
+    return presence.join(tips, "species", "left_semi")
+
+
 def unmatched(edges: DataFrame, presence: DataFrame) -> DataFrame:
     """tree_id, missing (tips without a species), extra (species without a tip): where both are over
     0, matching columns to the tree is refused."""

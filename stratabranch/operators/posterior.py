@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratabranch.functions import fit, stats
-from stratabranch.operators import rates
+from stratabranch.operators import indices, rates, trees
 
 
 def _samples(value: str):
@@ -14,12 +14,22 @@ def _samples(value: str):
     return F.transform(F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("draw", F.col(value).alias("v"))))), lambda x: x["v"])
 
 
+def draw_rates(edges: DataFrame, presence: DataFrame, draws: DataFrame, rate: str, n_slices: int, allow_non_ultrametric: bool = False, **options) -> DataFrame:
+    """The rate frames of all draws that can be used, with their place. Draws that aren't ultrametric (unless that
+    is allowed), or degenerate over the shared species, don't count; without any left, that is an error."""
+    pruned, kept, _ = indices.align(edges, presence)
+    fine = trees.usable(pruned, allow_non_ultrametric)
+    if not fine.limit(1).count():
+        raise RuntimeError("no draw of the pool can be used")
+    index = {"cpd": "pd", "cpe": "pe"}[rate]
+    return rates.fitted(fine, kept, presence.select("site_id").distinct(), n_slices, index, **options).join(draws.select("tree_id", "draw"), "tree_id")
+
+
 def posterior_rate(edges: DataFrame, presence: DataFrame, draws: DataFrame, rate: str = "cpd", n_slices: int = 100, level: float = 0.95, **options) -> DataFrame:
     """site_id, rate_mean, rate_median, hdi_low, hdi_high, ess_proxy, ess_proxy_caveat, n_trees,
     n_converged, n_ultrametric_draws, origin_within_tree. draws: tree_id, draw (the order)."""
     name = {"cpd": "CpD", "cpe": "CpE"}[rate]
-    run = rates.cpd_rate if rate == "cpd" else rates.cpe_rate
-    frame = run(edges, presence, n_slices, **options).join(draws.select("tree_id", "draw"), "tree_id")
+    frame = draw_rates(edges, presence, draws, rate, n_slices, **options)
     x = F.col("x")
     return (
         frame.groupBy("site_id")
@@ -32,8 +42,7 @@ def posterior_rate(edges: DataFrame, presence: DataFrame, draws: DataFrame, rate
 def posterior_origin(edges: DataFrame, presence: DataFrame, draws: DataFrame, rate: str = "cpd", n_slices: int = 100, level: float = 0.95, **options) -> DataFrame:
     """site_id, origin_median, hdi_low, hdi_high, n_trees, origin_within_tree."""
     name = {"cpd": "pDO", "cpe": "pEO"}[rate]
-    run = rates.cpd_rate if rate == "cpd" else rates.cpe_rate
-    frame = run(edges, presence, n_slices, **options).join(draws.select("tree_id", "draw"), "tree_id")
+    frame = draw_rates(edges, presence, draws, rate, n_slices, **options)
     return (
         frame.groupBy("site_id")
         .agg(_samples(name).alias("x"), F.median(name).alias("origin_median"), F.count("*").alias("n_trees"), F.bool_and("origin_within_tree").alias("origin_within_tree"))
@@ -55,3 +64,13 @@ def bootstrap(profiles: DataFrame, drawn: DataFrame, value: str = "pd", bounds=f
     site_pos. Sites that are drawn twice count twice."""
     pooled = drawn.groupBy("replicate", "site_pos").agg(F.count("*").alias("times")).join(profiles, "site_pos").groupBy("replicate", "j", "age").agg(F.sum(F.col("times") * F.col(value)).alias("v"))
     return fit.fit_profiles(pooled, ["replicate"], "v", bounds).select("replicate", "rate", "converged")
+
+
+def bootstrap_sites(edges: DataFrame, presence: DataFrame, n_boot: int = 1000, rate: str = "cpd", n_slices: int = 100, seed: int = 0, bounds=fit.BOUNDS, allow_non_ultrametric: bool = False) -> DataFrame:
+    """replicate, rate, converged: rates of the pooled profiles of sites drawn with replacement."""
+    edges, kept, sites = rates.prepared(edges, presence, allow_non_ultrametric)
+    profiles = rates.site_profiles(edges, kept, n_slices, sites=sites)
+    # A place for each site, by the order of a hash: sites are a small table beside profiles.
+    order = Window.orderBy(F.xxhash64("site_id"), "site_id")
+    at = sites.withColumn("site_pos", (F.row_number().over(order) - 1).cast("long"))
+    return bootstrap(profiles.join(at, "site_id"), seeded_draws(sites, n_boot, seed), {"cpd": "pd", "cpe": "pe"}[rate], bounds)

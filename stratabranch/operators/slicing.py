@@ -25,6 +25,13 @@ def pieces(total: float, width: float) -> tuple[int, float]:
     return n, total / n
 
 
+def piece_count(total: Column, width: Column) -> Column:
+    """`pieces` as a column: null where the width isn't positive or over the total."""
+    less, more = F.floor(total / width), F.ceil(total / width)
+    n = F.when((F.abs(width - total / less) < F.abs(width - total / more)) & (less != 1), less).otherwise(more)
+    return F.when((width > 0) & (width <= total), F.when(width == total, F.lit(1)).otherwise(n).cast("long"))
+
+
 def equal_time(tree_table: DataFrame, n: int | Column) -> DataFrame:
     """tree_id, j (from 0, root first), lo, hi, age (of the older edge) from (tree_id, root_age)."""
     n = F.lit(n) if isinstance(n, int) else n
@@ -64,24 +71,31 @@ def depth_for_pd(curve: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def equal_pd(edges: DataFrame, n: int) -> DataFrame:
-    """tree_id, j, lo, hi, age of windows of equal diversity."""
-    table = trees.summary(edges)
-    targets = table.select("tree_id", "root_age", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("j"), "total_pd").withColumn("pd", F.col("total_pd") * F.col("j") / F.lit(n))
-    cuts = depth_for_pd(pd_curve(edges), targets).select("tree_id", "root_age", "j", F.when(F.col("j") == 0, 0.0).when(F.col("j") == n, F.col("root_age")).otherwise(F.col("depth")).alias("lo"))
+def equal_pd(edges: DataFrame, n: int | Column) -> DataFrame:
+    """tree_id, j, lo, hi, age of windows of equal diversity. n: a number, or a column of trees' summaries."""
+    table = trees.summary(edges).withColumn("_n", (F.lit(n) if isinstance(n, int) else n).cast("int"))
+    targets = table.select("tree_id", "root_age", "_n", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("j"), "total_pd").withColumn("pd", F.col("total_pd") * F.col("j") / F.col("_n"))
+    cuts = depth_for_pd(pd_curve(edges), targets).select("tree_id", "root_age", "j", F.when(F.col("j") == 0, 0.0).when(F.col("j") == F.col("_n"), F.col("root_age")).otherwise(F.col("depth")).alias("lo"))
     hi = F.lead("lo").over(Window.partitionBy("tree_id").orderBy("j"))
     return cuts.withColumn("hi", hi).where("hi IS NOT NULL").select("tree_id", "j", "lo", "hi", (F.col("root_age") - F.col("lo")).alias("age"))
 
 
-def windows(edges: DataFrame, n: int | None = None, width: float | None = None, criterion: str = "time") -> DataFrame:
-    """n windows, or as many as a width gives (of one tree; the width is in time or diversity)."""
+def windows(edges: DataFrame, n: int | None = None, width: float | None = None, criterion: str = "time", allow_non_ultrametric: bool | None = None) -> DataFrame:
+    """n windows of each tree, or as many as a width in time or diversity gives; a width that is over a tree's
+    total is an error.
+    allow_non_ultrametric: None where the trees have been looked at already."""
     if (n is None) == (width is None):
         raise ValueError("give either the number of slices or their width")
+    if allow_non_ultrametric is not None:
+        trees.require(edges, allow_non_ultrametric)
+    if criterion not in ("time", "pd"):
+        raise ValueError("the criterion is 'time' or 'pd'")
     if width is not None:
-        one = trees.summary(edges).agg(F.max("root_age"), F.max("total_pd")).first()
-        n = pieces(one[0] if criterion == "time" else one[1], width)[0]
+        total = F.col("root_age" if criterion == "time" else "total_pd")
+        n = F.coalesce(piece_count(total, F.lit(float(width))), F.raise_error(F.lit("the width must be positive and at most the total")).cast("long")).cast("int")
     if criterion == "time":
-        return equal_time(trees.summary(edges).select("tree_id", "root_age"), n)
+        table = trees.summary(edges)
+        return equal_time(table.select("tree_id", "root_age") if isinstance(n, int) else table.select("tree_id", "root_age", n.alias("_count")), n if isinstance(n, int) else F.col("_count")).drop("_count")
     if criterion == "pd":
         return equal_pd(edges, n)
     raise ValueError("the criterion is 'time' or 'pd'")
@@ -112,18 +126,21 @@ def _depth(edges: DataFrame, value: float, criterion: str) -> DataFrame:
     return depth_for_pd(pd_curve(edges), wanted).select("tree_id", F.col("depth").alias("at"))
 
 
-def rootward(edges: DataFrame, value: float, criterion: str = "time") -> DataFrame:
+def rootward(edges: DataFrame, value: float, criterion: str = "time", allow_non_ultrametric: bool = False) -> DataFrame:
     """The part of trees younger than a time, or below the first value of diversity."""
+    trees.require(edges, allow_non_ultrametric)
     return edges.join(_depth(edges, value, criterion), "tree_id").withColumn("length", overlap("at", F.lit(float("inf")))).select(*edges.columns)
 
 
-def tipward(edges: DataFrame, value: float, criterion: str = "time") -> DataFrame:
+def tipward(edges: DataFrame, value: float, criterion: str = "time", allow_non_ultrametric: bool = False) -> DataFrame:
     """The part of trees older than a time, or the first value of diversity."""
+    trees.require(edges, allow_non_ultrametric)
     return edges.join(_depth(edges, value, criterion), "tree_id").withColumn("length", overlap(F.lit(0.0), "at")).select(*edges.columns)
 
 
-def interval(edges: DataFrame, start: float, stop: float, criterion: str = "time", invert: bool = False) -> DataFrame:
+def interval(edges: DataFrame, start: float, stop: float, criterion: str = "time", invert: bool = False, allow_non_ultrametric: bool = False) -> DataFrame:
     """The part between two thresholds, older first; invert: what lies outside, as (side, edges)."""
+    trees.require(edges, allow_non_ultrametric)
     if (start <= stop) if criterion == "time" else (start >= stop):
         raise ValueError("the interval is empty or reversed")
     lo, hi = _depth(edges, start, criterion).withColumnRenamed("at", "lo"), _depth(edges, stop, criterion).withColumnRenamed("at", "hi")

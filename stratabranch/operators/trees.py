@@ -28,6 +28,31 @@ def summary(edges: DataFrame, spread: float = SPREAD) -> DataFrame:
     )
 
 
+def require(edges: DataFrame, allow_non_ultrametric: bool = False) -> DataFrame:
+    """edges, or a ValueError where a tree has no depth or no length, or isn't ultrametric (unless that is
+    allowed). One row for each tree is looked at."""
+    bad = summary(edges).where("degenerate OR degenerate IS NULL OR NOT ultrametric").select("tree_id", "degenerate").limit(20).collect()
+    if any(r.degenerate is not False for r in bad):
+        raise ValueError(f"trees without depth or length: {sorted(str(r.tree_id) for r in bad if r.degenerate is not False)[:5]}")
+    if bad and not allow_non_ultrametric:
+        raise ValueError(f"trees that are not ultrametric: {sorted(str(r.tree_id) for r in bad)[:5]}; allow_non_ultrametric takes them as they are")
+    return edges
+
+
+def usable(edges: DataFrame, allow_non_ultrametric: bool = False) -> DataFrame:
+    """edges of the trees that `require` takes; for pools, where a bad tree costs its own draw."""
+    fine = summary(edges).where("NOT degenerate" if allow_non_ultrametric else "NOT degenerate AND ultrametric")
+    return edges.join(fine.select("tree_id"), "tree_id", "left_semi")
+
+
+def with_lengths(edges: DataFrame, lengths: DataFrame) -> DataFrame:
+    """edges with the lengths of (tree_id, edge_id, length); an edge that has none there is an error. Depths
+    stay those of the tree that was cut."""
+    found = edges.drop("length").join(lengths.select("tree_id", "edge_id", "length"), ["tree_id", "edge_id"], "left")
+    known = F.coalesce("length", F.raise_error(F.concat(F.lit("no length for edge "), F.col("edge_id").cast("string"))).cast("double"))
+    return found.withColumn("length", known).select(*edges.columns)
+
+
 def tip_ages(edges: DataFrame) -> DataFrame:
     return edges.where("is_tip").join(summary(edges).select("tree_id", "root_age"), "tree_id").select("tree_id", "label", (F.col("root_age") - F.col("d")).alias("age"))
 
@@ -48,24 +73,40 @@ def children_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy("tree_id", "parent").agg(F.sort_array(F.collect_list("child")).alias("children"))
 
 
-def node_depths(links: DataFrame) -> DataFrame:
-    """tree_id, node, depth from (tree_id, parent, child, length) by pointer doubling: as many rounds as
-    the logarithm of the height. The root has depth 0; nodes that aren't below a root don't come out."""
-    up = links.select("tree_id", F.col("child").alias("node"), F.col("parent").alias("top"), F.col("length").alias("depth"))
-    while True:
+def _jumps(links: DataFrame) -> DataFrame:
+    """tree_id, node, top, depth, open: each node's last ancestor that pointer doubling reaches, in as many
+    rounds as the logarithm of the largest tree's size. open: it goes on from there, which only a cycle makes
+    possible. Of several parents of a node, the smallest counts."""
+    up = links.groupBy("tree_id", F.col("child").alias("node")).agg(F.min(F.struct(F.col("parent").alias("top"), F.col("length").alias("depth"))).alias("s")).select("tree_id", "node", "s.top", "s.depth")
+    most = links.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for k in range(int(most).bit_length() + 1):
         over = up.select("tree_id", F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        new = up.join(over, ["tree_id", "top"], "left").select("tree_id", "node", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0.0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
+        new = up.join(over, ["tree_id", "top"], "left").select("tree_id", "node", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0.0))).alias("depth"), F.col("next").isNotNull().alias("open"))
         new = settle(new)
-        moved = new.where("moved").limit(1).count()
-        up = new.drop("moved")
-        if not moved:
+        up = new.drop("open")
+        if not new.where("open").limit(1).count():
             break
+    return new if most else up.withColumn("open", F.lit(False))
+
+
+def node_depths(links: DataFrame) -> DataFrame:
+    """tree_id, node, depth from (tree_id, parent, child, length) by pointer doubling: as many rounds as
+    the logarithm of the height. The root has depth 0; nodes that aren't below a root, such as those of a cycle,
+    don't come out."""
+    up = _jumps(links).where("NOT open")
     roots = up.select("tree_id", F.col("top").alias("node")).distinct().withColumn("depth", F.lit(0.0))
     return up.select("tree_id", "node", "depth").unionByName(roots)
 
 
+def reachable(links: DataFrame) -> DataFrame:
+    """tree_id, node of the nodes that can be reached from a root, roots included."""
+    return node_depths(links).select("tree_id", "node")
+
+
 def problems(links: DataFrame) -> DataFrame:
-    """tree_id, problem of edge tables (tree_id, parent, child, length, label) that aren't trees."""
+    """tree_id, problem of edge tables (tree_id, parent, child, length, label) that aren't trees: lengths that
+    are negative or not finite, nodes with several parents, labels of tips that repeat or are null, fewer than
+    two tips, several roots or none, nodes that no root reaches."""
     tips = links.join(links.select("tree_id", F.col("parent").alias("child")).distinct(), ["tree_id", "child"], "left_anti")
     found = [
         links.where(F.col("length").isNull() | F.isnan("length") | (F.abs("length") == float("inf"))).select("tree_id", F.lit("length not finite").alias("problem")),
@@ -75,6 +116,7 @@ def problems(links: DataFrame) -> DataFrame:
         tips.groupBy("tree_id").count().where("count < 2").select("tree_id", F.lit("fewer than two tips").alias("problem")),
         links.select("tree_id", F.col("parent").alias("node")).distinct().join(links.select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_anti").groupBy("tree_id").count().where("count <> 1").select("tree_id", F.lit("more than one root").alias("problem")),
         links.select("tree_id").distinct().join(links.select("tree_id", F.col("parent").alias("node")).join(links.select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_anti").select("tree_id").distinct(), "tree_id", "left_anti").select("tree_id", F.lit("no root").alias("problem")),
+        _jumps(links.withColumn("length", F.lit(0.0))).where("open").select("tree_id", F.lit("not reachable from a root").alias("problem")),
     ]
     out = found[0]
     for f in found[1:]:

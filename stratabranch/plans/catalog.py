@@ -48,20 +48,23 @@ def newick_parse(spark, sf):
     return rounded(found.select("label", "is_tip", "b", "d", "length", (F.col("tip_hi") - F.col("tip_lo")).alias("n_tips")))
 
 
-@register(sql.query(sql.tips(3), "SELECT tree_id, count(*) FILTER (WHERE is_tip) AS n_tips, max(d) AS root_age, sum(d - b) AS total_pd FROM edges GROUP BY tree_id"))
+@register(sql.query(sql.tips(3), "SELECT tree_id || '.' || k AS tree_id, count(*) FILTER (WHERE is_tip) AS n_tips, max(d) AS root_age, sum(d - b) AS total_pd FROM edges, (SELECT unnest(range(2)) AS k) GROUP BY tree_id, k"))
 def newick_pool(spark, sf):
-    """A pool in one text, split into records, each parsed by the UDTF."""
+    """Texts of two records, with a comment and a quoted label between, split and parsed by the UDTFs."""
     newick.register(spark)
     texts = newick.render_trees(demo.numbered(demo.edges(spark, sf, 3)))
-    pool = texts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tree_id", "newick"))), lambda x: x["newick"]), "\n").alias("text"))
-    pool.createOrReplaceTempView("_pool_text")
-    rows = spark.sql("SELECT concat('draw', draw) AS tree_id, e.* FROM _pool_text, LATERAL split_newick(text), LATERAL parse_newick(newick) e")
+    texts.withColumn("text", F.concat("newick", F.lit(" [a comment; of two parts]\n"), "newick")).createOrReplaceTempView("_pool_text")
+    rows = spark.sql("SELECT concat(tree_id, '.', draw) AS tree_id, e.* FROM (SELECT p.tree_id, r.draw, r.newick FROM _pool_text p, LATERAL split_newick(p.text) r), LATERAL parse_newick(newick) e")
     return rounded(trees.summary(rows).select("tree_id", "n_tips", "root_age", "total_pd"))
 
 
-@register(sql.query(sql.tips(2), "SELECT tree_id, edge_id AS node, d AS depth FROM edges UNION ALL SELECT DISTINCT tree_id, 'root', CAST(0 AS DOUBLE) FROM edges"))
+LADDER_NODES = "SELECT tree_id, edge_id AS node, d AS depth FROM ladders UNION ALL SELECT DISTINCT tree_id, 'n0', CAST(0 AS DOUBLE) FROM ladders"
+
+
+@register(sql.query(sql.tips(2), sql.LADDERS, f"SELECT tree_id, edge_id AS node, d AS depth FROM edges UNION ALL SELECT DISTINCT tree_id, 'root', CAST(0 AS DOUBLE) FROM edges UNION ALL {LADDER_NODES}"))
 def node_depth(spark, sf):
-    return trees.node_depths(demo.edges(spark, sf, 2).select("tree_id", "parent", "child", "length"))
+    columns = ("tree_id", "parent", "child", "length")
+    return trees.node_depths(demo.edges(spark, sf, 2).select(*columns).union(demo.ladders(spark, sf).select(*columns)))
 
 
 @register(sql.query(sql.tips(), "SELECT edge_id, min(tip) AS tip_lo, max(tip) + 1 AS tip_hi FROM closure GROUP BY edge_id"))
@@ -74,25 +77,77 @@ def children_of(spark, sf):
     return trees.children_of(demo.edges(spark, sf)).drop("tree_id")
 
 
-@register(sql.query(sql.tips(3), "SELECT tree_id, count(*) FILTER (WHERE is_tip) AS n_tips, max(d) AS root_age, sum(d - b) AS total_pd, max(d) FILTER (WHERE is_tip) - min(d) FILTER (WHERE is_tip) <= 1e-8 * max(d) AS ultrametric, false AS degenerate FROM edges GROUP BY tree_id"))
+ALL_TREES = "everything AS (SELECT tree_id, b, d, is_tip FROM edges UNION ALL SELECT tree_id, b, d, is_tip FROM ladders UNION ALL SELECT 'flat' || tree_id, 0, 0, is_tip FROM ladders)"
+
+
+@register(sql.query(sql.tips(3), sql.LADDERS, ALL_TREES, "SELECT tree_id, count(*) FILTER (WHERE is_tip) AS n_tips, max(d) FILTER (WHERE is_tip) AS root_age, sum(d - b) AS total_pd, max(d) FILTER (WHERE is_tip) - min(d) FILTER (WHERE is_tip) <= 1e-8 * max(d) FILTER (WHERE is_tip) AS ultrametric, max(d) FILTER (WHERE is_tip) <= 0 OR sum(d - b) <= 0 AS degenerate FROM everything GROUP BY tree_id"))
 def ultrametric_check(spark, sf):
-    return rounded(trees.summary(demo.edges(spark, sf, 3)))
+    """Pools, ladders that mostly aren't ultrametric, and ladders without any length."""
+    ladders = demo.ladders(spark, sf)
+    flat = ladders.withColumns({"tree_id": F.concat(F.lit("flat"), "tree_id"), "b": F.lit(0.0), "d": F.lit(0.0), "length": F.lit(0.0)})
+    return rounded(trees.summary(demo.edges(spark, sf, 3).unionByName(ladders).unionByName(flat)))
 
 
-@register(sql.query(sql.tips(), "SELECT label, CAST(0 AS DOUBLE) AS age FROM edges WHERE is_tip"))
+@register(sql.query(sql.LADDERS, "SELECT tree_id, label, max(d) FILTER (WHERE is_tip) OVER (PARTITION BY tree_id) - d AS age FROM ladders QUALIFY is_tip"))
 def tip_ages(spark, sf):
-    return rounded(trees.tip_ages(demo.edges(spark, sf)).drop("tree_id"))
+    return rounded(trees.tip_ages(demo.ladders(spark, sf)))
+
+
+# Links (kind, parent, child, length, label): a sound tree and one for each way not to be a tree.
+_SOUND = [(9, 1, "1", "a"), (9, 2, "1", "b"), (9, 3, "1", "c")]
+BROKEN = [
+    _SOUND,
+    [(9, 1, "NaN", "a"), *_SOUND[1:]],
+    [(9, 1, "-1", "a"), *_SOUND[1:]],
+    [*_SOUND, (3, 2, "1", "b")],
+    [(9, 1, "1", "c"), *_SOUND[1:]],
+    [(9, 1, "1", "a")],
+    [*_SOUND, (8, 4, "1", "d")],
+    [(9, 1, "1", None), (1, 9, "1", None)],
+    [*_SOUND, (5, 6, "1", None), (6, 5, "1", None)],
+    [(9, 1, "Infinity", "a"), *_SOUND[1:]],
+    [*_SOUND, (3, 4, "1", None), (3, 5, "1", "e")],
+]
+_VALUES = ", ".join(f"({k}, {p}, {c}, '{x}', {'NULL' if l is None else repr(l)})" for k, rows in enumerate(BROKEN) for p, c, x, l in rows)
+LINKS = f"""
+cases AS (SELECT kind, parent, child, CAST(x AS DOUBLE) AS length, CAST(label AS VARCHAR) AS label FROM (VALUES {_VALUES}) v(kind, parent, child, x, label)),
+links AS (SELECT 'p' || p_partkey AS tree_id, parent, child, length, label FROM part JOIN cases ON p_partkey % {len(BROKEN)} = kind),
+tips AS (SELECT * FROM links l WHERE NOT EXISTS (SELECT 1 FROM links m WHERE m.tree_id = l.tree_id AND m.parent = l.child)),
+roots AS (SELECT DISTINCT tree_id, parent AS node FROM links l WHERE NOT EXISTS (SELECT 1 FROM links m WHERE m.tree_id = l.tree_id AND m.child = l.parent)),
+reach AS (SELECT tree_id, node FROM roots UNION SELECT l.tree_id, l.child FROM reach r JOIN links l ON l.tree_id = r.tree_id AND l.parent = r.node)"""
+
+
+def _links(spark, sf) -> DataFrame:
+    """A small tree for each part."""
+    cases = spark.createDataFrame([(k, p, c, float(x.replace("Infinity", "inf")), l) for k, rows in enumerate(BROKEN) for p, c, x, l in rows], "kind long, parent int, child int, length double, label string")
+    part = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("tree_id"), (F.col("p_partkey") % len(BROKEN)).alias("kind"))
+    return part.join(F.broadcast(cases), "kind").drop("kind")
+
+
+@register(sql.query(LINKS, """
+SELECT DISTINCT tree_id, 'length not finite' AS problem FROM links WHERE NOT isfinite(length)
+UNION ALL SELECT DISTINCT tree_id, 'negative length' FROM links WHERE length < 0
+UNION ALL SELECT DISTINCT tree_id, 'more than one parent' FROM links GROUP BY tree_id, child HAVING count(*) > 1
+UNION ALL SELECT DISTINCT tree_id, 'labels not unique' FROM tips GROUP BY tree_id, label HAVING count(*) > 1 OR label IS NULL
+UNION ALL SELECT tree_id, 'fewer than two tips' FROM tips GROUP BY tree_id HAVING count(*) < 2
+UNION ALL SELECT tree_id, 'more than one root' FROM roots GROUP BY tree_id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT tree_id, 'no root' FROM links WHERE tree_id NOT IN (SELECT tree_id FROM roots)
+UNION ALL SELECT DISTINCT l.tree_id, 'not reachable from a root' FROM links l LEFT JOIN reach r ON r.tree_id = l.tree_id AND r.node = l.child WHERE r.node IS NULL
+""", recursive=True))
+def edge_problems(spark, sf):
+    """Each part is a small tree, most of them broken; the broken ones are told with their problems."""
+    return trees.problems(_links(spark, sf))
 
 
-@register("SELECT 'p' || p_partkey AS label, 'negative length' AS problem FROM part WHERE p_partkey % 100 = 7 UNION ALL SELECT 'p' || p_partkey, 'more than one parent' FROM part WHERE p_partkey % 100 = 8")
-def edge_problems(spark, sf):
-    """Each part is a small tree, some of them broken; the broken ones are told with their problem."""
-    part = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("tree_id"), (F.col("p_partkey") % 100).alias("kind"))
-    row = lambda p, c, x, l: F.struct(F.lit(p).alias("parent"), F.lit(c).alias("child"), (x if not isinstance(x, float) else F.lit(x)).alias("length"), F.lit(l).cast("string").alias("label"))  # noqa: E731,E741
-    base = [row(9, 1, F.when(F.col("kind") == 7, -1.0).otherwise(1.0), "a"), row(9, 2, 1.0, "b"), row(9, 3, 1.0, "c")]
-    links = part.select("tree_id", F.explode(F.when(F.col("kind") == 8, F.array(*base, row(3, 2, 1.0, "b"))).otherwise(F.array(*base))).alias("e")).select("tree_id", "e.*")
-    found = trees.problems(links).where("problem IN ('negative length', 'more than one parent')")
-    return found.select(F.col("tree_id").alias("label"), "problem")
+@register(sql.query(LINKS, "SELECT tree_id, node FROM reach", recursive=True))
+def reachable_nodes(spark, sf):
+    return trees.reachable(_links(spark, sf).withColumn("length", F.lit(1.0)))
+
+
+@register(sql.query(sql.tips(), "SELECT edge_id, CAST(tip_hi - tip_lo AS DOUBLE) AS length FROM edges"))
+def replaced_lengths(spark, sf):
+    e = demo.edges(spark, sf)
+    return trees.with_lengths(e, e.select("tree_id", "edge_id", (F.col("tip_hi") - F.col("tip_lo")).cast("double").alias("length"))).select("edge_id", "length")
 
 
 @register(sql.query(sql.tips(), sql.windows(str(N)), sql.contribution(), "SELECT edge_id, j, round(c, 6) AS c FROM contribution"))
@@ -168,10 +223,19 @@ def slice_rootward_pd(spark, sf):
     return _cut(slicing.rootward(demo.edges(spark, sf), 30.0, "pd"))
 
 
-@register("SELECT CAST(parts AS DOUBLE) AS parts, n_slices FROM (VALUES (7.3, 7), (7.8, 8), (7.5, 8), (1.0, 1), (1.2, 2)) v(parts, n_slices)")
+@register("SELECT p_partkey, CASE WHEN width = total THEN 1 WHEN abs(width - total / floor(total / width)) < abs(width - total / ceil(total / width)) AND floor(total / width) <> 1 THEN CAST(floor(total / width) AS BIGINT) ELSE CAST(ceil(total / width) AS BIGINT) END AS n_slices FROM (SELECT p_partkey, p_retailprice AS total, CASE WHEN p_size % 10 = 0 THEN p_retailprice ELSE p_retailprice / (1 + p_size / 7.0e0) END AS width FROM part)")
 def slice_widths(spark, sf):
-    """How many slices widths of a whole over so many parts give."""
-    return spark.createDataFrame([(p, slicing.pieces(1.0, 1.0 / p)[0]) for p in (7.3, 7.8, 7.5, 1.0, 1.2)], "parts double, n_slices int")
+    """How many slices a wanted width gives, for every part's price as a whole."""
+    part = table(spark, sf, "part")
+    total = F.col("p_retailprice")
+    width = F.when(F.col("p_size") % 10 == 0, total).otherwise(total / (1 + F.col("p_size") / 7.0))
+    return part.select("p_partkey", slicing.piece_count(total, width).alias("n_slices"))
+
+
+@register(sql.query(sql.tips(3), sql.windows("4"), "SELECT tree_id, j, round(lo, 6) AS lo, round(hi, 6) AS hi, round(age, 6) AS age FROM windows"))
+def windows_by_width(spark, sf):
+    """Ages of 10 by a width of 2.6: four slices of every tree."""
+    return rounded(slicing.windows(demo.edges(spark, sf, 3), width=2.6))
 
 
 PRUNED = """
@@ -195,6 +259,16 @@ def subarray_prune(spark, sf):
     return _pruned(trees.prune(e, keep))
 
 
+LADDER_PRUNED = "SELECT tree_id, edge_id, round(b - stem, 6) AS b, round(d - stem, 6) AS d, s.tip_lo, s.tip_hi FROM ladders JOIN spans s USING (tree_id, edge_id) JOIN alls USING (tree_id) JOIN stems USING (tree_id) WHERE n < n_all AND n_all >= 2"
+
+
+@register(sql.query(sql.LADDERS, "closure AS (SELECT e.tree_id, e.edge_id, t.tip_lo AS tip, t.label FROM ladders e JOIN ladders t ON t.tree_id = e.tree_id AND t.is_tip AND t.tip_lo >= e.tip_lo AND t.tip_lo < e.tip_hi)", PRUNED.format(keep="ladders WHERE is_tip AND tip_lo % 4 > 1").replace("FROM edges", "FROM ladders"), LADDER_PRUNED))
+def prune_ladders(spark, sf):
+    """Two tips of four stay, not the first ones: stems go, and inner nodes of one child remain."""
+    e = demo.ladders(spark, sf)
+    return _pruned(trees.prune(e, e.where("is_tip AND tip_lo % 4 > 1").select("tree_id", "label")))
+
+
 @register(sql.query(sql.tips(), PRUNED.format(keep="tips WHERE p_type = 'SMALL'"), PRUNED_ROWS))
 def subarray_below_root(spark, sf):
     """Tips of one type: the root moves down to their last common ancestor."""
@@ -371,12 +445,11 @@ def cpd_rate_native(spark, sf):
 
 @register(sql.query(sql.tips(), *ALIGNED, sql.windows("4, 8, 16", "aligned"), sql.contribution("aligned"), sql.PROFILE, sql.fit("profile", "tree_id, site_id, n_slices", "pd"), "SELECT site_id, n_slices, round(rate, 6) AS rate, converged, min(pick) OVER (PARTITION BY site_id) AS suggested_slices FROM (SELECT *, CASE WHEN abs(rate - nxt) <= 0.05 * greatest(abs(nxt), 1e-12) THEN n_slices END AS pick FROM (SELECT *, lead(rate) OVER (PARTITION BY site_id ORDER BY n_slices) AS nxt FROM fits))", recursive=True))
 def sensitivity(spark, sf):
-    edges, present, _ = indices.align(demo.edges(spark, sf), demo.presence(spark, sf))
-    return rounded(rates.sensitivity(edges, present, (4, 8, 16)).select("site_id", "n_slices", "rate", "converged", "suggested_slices"))
+    return rounded(rates.sensitivity(demo.edges(spark, sf), demo.presence(spark, sf), (4, 8, 16)).select("site_id", "n_slices", "rate", "converged", "suggested_slices"))
 
 
 def _beta_parts(weighted: bool = False) -> tuple[str, ...]:
-    return (*MEMBERS, sql.PAIRS, sql.beta("edges", weighted))
+    return (sql.tips(), *ALIGNED, sql.PAIRS, sql.beta("aligned", weighted))
 
 
 def _register_beta() -> None:
@@ -389,16 +462,14 @@ def _register_beta() -> None:
 def _register_one(component: str, approach: str, weighted: bool) -> None:
     tail = ("cpb_rw" if weighted else f"cpb_{component}") + f"_{approach}"
     names = ("CpB_RW", "PB_RW") if weighted else ("CpB", "PB")
-    series = (*_beta_parts(weighted), sql.beta_total(component, approach), sql.windows(str(FITTED)), sql.contribution(), sql.beta_series(component, approach, weighted))
+    series = (*_beta_parts(weighted), sql.beta_total(component, approach), sql.windows(str(FITTED), "aligned"), sql.contribution("aligned"), sql.beta_series(component, approach, weighted))
 
     def total(spark, sf):
         found = beta.totals(demo.edges(spark, sf), demo.presence(spark, sf), demo.adjacency(spark, sf), component, approach, weighted)
         return rounded(found.select("focal", "pb", "status"))
 
     def per_slice(spark, sf):
-        e = demo.edges(spark, sf)
-        w = slicing.windows(e, FITTED)
-        found = beta.per_slice(e, demo.presence(spark, sf), demo.adjacency(spark, sf), slicing.contribution(e, w), w, component, approach, weighted)
+        found = beta.series(demo.edges(spark, sf), demo.presence(spark, sf), demo.adjacency(spark, sf), FITTED, component, approach, weighted)
         return rounded(found.select("focal", "j", "series", "value", "compatible", "total", "status"))
 
     def rate(spark, sf):
@@ -421,11 +492,30 @@ def pb_paired_domain(spark, sf):
     return rounded(beta.totals(demo.edges(spark, sf), demo.presence(spark, sf), demo.adjacency(spark, sf), domain="paired").select("focal", "pb", "status"))
 
 
-@register(sql.query(*_beta_parts(), sql.beta_total("turnover", "multisite"), sql.windows(str(FITTED)), sql.contribution(), sql.beta_series("turnover", "multisite", False), "ok_rows AS (SELECT tree_id, focal, j, age, series, pb FROM rows_ WHERE status = 'ok')", sql.fit("ok_rows", "tree_id, focal", "series", "pb"), "SELECT focal AS site_id, round(rate, 6) AS CpB FROM fits", recursive=True))
+@register(sql.query(*_beta_parts(), sql.beta_total("turnover", "multisite"), sql.windows(str(FITTED), "aligned"), sql.contribution("aligned"), sql.beta_series("turnover", "multisite", False), "ok_rows AS (SELECT tree_id, focal, j, age, series, pb FROM rows_ WHERE status = 'ok')", sql.fit("ok_rows", "tree_id, focal", "series", "pb"), "SELECT DISTINCT r.focal AS site_id, round(f.rate, 6) AS CpB, CASE WHEN r.status <> 'ok' THEN r.status ELSE 'fitted' END AS status FROM rows_ r LEFT JOIN fits f ON f.focal = r.focal", recursive=True))
 def cpb_compatible(spark, sf):
-    """Turnover fitted as running sums over the total, which don't end in 1."""
+    """Turnover fitted as running sums over the total, which don't end in 1; skipped sites say why."""
     found = rates.cpb_rate(demo.edges(spark, sf), demo.presence(spark, sf), demo.adjacency(spark, sf), FITTED, "turnover", compatible=True)
-    return rounded(found.where("CpB IS NOT NULL").select("site_id", "CpB"))
+    return rounded(found.select("site_id", "CpB", F.when(F.col("CpB").isNull(), F.col("reason")).otherwise(F.lit("fitted")).alias("status")))
+
+
+#: Bounds of rates that some sites meet.
+TIGHT = (0.3, 0.34)
+REASONS = f"CASE WHEN rate IS NULL THEN '{fit.EMPTY}' WHEN at_upper_bound THEN '{fit.CLIPPED_HIGH.format(TIGHT[1])}' WHEN at_lower_bound THEN '{fit.CLIPPED_LOW.format(TIGHT[0])}' ELSE '' END"
+
+
+@register(sql.query(sql.tips(), sql.PRESENCE.replace("sites AS (SELECT DISTINCT site_id FROM presence)", "sites AS (SELECT DISTINCT site_id FROM presence UNION ALL SELECT 99)"), sql.ALIGNED, sql.member("aligned"), sql.windows(str(FITTED), "aligned"), sql.contribution("aligned"), sql.PROFILE, sql.fit("profile", "tree_id, site_id", "pd", lo=TIGHT[0], hi=TIGHT[1]), f"SELECT site_id, round(rate, 6) AS CpD, round(total, 6) AS PD, converged, at_lower_bound, at_upper_bound, {REASONS} || CASE WHEN rate IS NOT NULL AND {sql.ORIGIN} > t THEN CASE WHEN {REASONS} = '' THEN '{rates.BEYOND}' ELSE '; {rates.BEYOND}' END ELSE '' END AS reason FROM fits JOIN ages USING (tree_id)", recursive=True))
+def cpd_rate_bounds(spark, sf):
+    """Rates that meet their bounds, and a site whose only species is on no tree: flags and reasons."""
+    present = demo.presence(spark, sf)
+    lost = spark.range(1).select(F.lit(99).alias("site_id"), F.lit("of no tree").alias("species"))
+    found = rates.cpd_rate(demo.edges(spark, sf), present.union(lost), FITTED, bounds=TIGHT)
+    return rounded(found.select("site_id", "CpD", "PD", "converged", "at_lower_bound", "at_upper_bound", "reason"))
+
+
+@register(sql.query(*_fitted("pd"), "SELECT count(*) AS n_sites, count(*) FILTER (WHERE converged) AS n_converged, round(median(rate), 6) AS median_rate FROM fits", recursive=True))
+def run_summary(spark, sf):
+    return rounded(rates.run_summary(rates.cpd_rate(demo.edges(spark, sf), demo.presence(spark, sf), FITTED), "CpD"))
 
 
 POOL = _fitted("pd", DRAWS)
@@ -540,10 +630,10 @@ drawn AS (SELECT b AS replicate, (b * 7919 + i * 104729) % n AS pos FROM n, (SEL
 pooled AS (SELECT replicate, j, age, sum(pd) AS v FROM drawn JOIN positions USING (pos) GROUP BY ALL)"""
 
 
-@register(sql.query(*SLICED, BOOT, sql.fit("pooled", "replicate", "v"), "SELECT replicate, round(rate, 6) AS rate, converged FROM fits", recursive=True))
+@register(sql.query(sql.tips(), *ALIGNED, sql.windows(str(N), "aligned"), sql.contribution("aligned"), sql.PROFILE, BOOT, sql.fit("pooled", "replicate", "v"), "SELECT replicate, round(rate, 6) AS rate, converged FROM fits", recursive=True))
 def bootstrap_sites(spark, sf):
-    rows = _profiles(spark, sf)
-    sites = rows.select("site_id").distinct()
+    edges, present, sites = rates.prepared(demo.edges(spark, sf), demo.presence(spark, sf))
+    rows = rates.site_profiles(edges, present, N, sites=sites)
     from pyspark.sql import Window
 
     at = sites.withColumn("site_pos", (F.row_number().over(Window.orderBy("site_id")) - 1).cast("long"))

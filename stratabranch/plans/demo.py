@@ -1,7 +1,9 @@
 """Trees, presence, adjacency and coordinates derived from the relational tables.
 
 The tree has parts as tips, below a node for each type and brand; all tips are at depth 10. Sites are
-nations, present where one of their suppliers sold a part. Pools of trees move the inner nodes.
+nations, present where one of their suppliers sold a part; every seventh part goes by another name there,
+so that some tips have no species and some species no tip. Pools of trees move the inner nodes. Other trees, one
+for each nation, are ladders of its customers, whose tips lie at several depths.
 """
 
 from __future__ import annotations
@@ -46,11 +48,26 @@ def numbered(edge_rows: DataFrame) -> DataFrame:
     return kids.join(tops, ["tree_id", "parent"], "left").select("tree_id", F.col("n").cast("int").alias("edge_id"), F.coalesce("p", F.lit(0)).cast("long").alias("parent"), F.col("n").alias("child"), "length", "b", "d", "tip_lo", "tip_hi", "is_tip", "label")
 
 
+def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a tree for each nation: its customers, in order, hang one below the other, the k-th from a node
+    at depth k - 1 by a branch that is whole every third time and half as long otherwise; the last node of the
+    ladder has two of them. Nations of one customer have none."""
+    s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("tree_id"), "c_custkey")
+    w = Window.partitionBy("tree_id")
+    at = s.withColumn("k", F.row_number().over(w.orderBy("c_custkey"))).withColumn("n", F.count("*").over(w)).where("n >= 2")
+    top, node = F.least(F.col("k"), F.col("n") - 1) - 1, lambda x: F.concat(F.lit("n"), x.cast("string"))
+    name, size = F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.when(F.col("k") % 3 == 0, 1.0).otherwise(0.5)
+    b = top.cast("double")
+    tips = at.select("tree_id", name.alias("edge_id"), node(top).alias("parent"), name.alias("child"), size.alias("length"), b.alias("b"), (b + size).alias("d"), (F.col("k") - 1).cast("long").alias("tip_lo"), F.col("k").cast("long").alias("tip_hi"), F.lit(True).alias("is_tip"), name.alias("label"))
+    inner = at.where("k BETWEEN 2 AND n - 1").select("tree_id", node(F.col("k") - 1).alias("edge_id"), node(F.col("k") - 2).alias("parent"), node(F.col("k") - 1).alias("child"), F.lit(1.0).alias("length"), (F.col("k") - 2).cast("double").alias("b"), (F.col("k") - 1).cast("double").alias("d"), (F.col("k") - 1).cast("long").alias("tip_lo"), F.col("n").cast("long").alias("tip_hi"), F.lit(False).alias("is_tip"), F.lit(None).cast("string").alias("label"))
+    return tips.unionByName(inner)
+
+
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """site_id (the nation), species, each once. Suppliers are few beside lines, whose sums come first."""
+    """site_id (the nation), species, each once."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return settle(lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("site_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("species")).distinct())
+    return settle(lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("site_id"), F.concat(F.when(F.col("l_partkey") % 7 == 3, F.lit("q")).otherwise(F.lit("p")), F.col("l_partkey").cast("string")).alias("species")).distinct())
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:

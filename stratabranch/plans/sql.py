@@ -1,13 +1,14 @@
 """SQL with which the registered queries must agree, in a dialect that DuckDB runs.
 
 The texts share their common table expressions: the demo tree of the relational tables, its closure,
-presence, membership, windows and profiles. Fits are a grid, then a recursive bisection.
+presence, membership, windows and profiles. Fits look at a grid of rates, at a finer one around the best of
+them, and then take plain Newton steps.
 """
 
 from __future__ import annotations
 
-#: Bounds of rates, and how finely the grid starts.
-LO, HI, GRID, STEPS = 1e-6, 50.0, 96, 60
+#: Bounds of rates, points of the grid, and Newton steps.
+LO, HI, GRID, STEPS = 1e-6, 50.0, 300, 14
 
 
 def tips(draws: int = 1) -> str:
@@ -38,11 +39,25 @@ closure AS (
 
 PRESENCE = """
 presence AS (
-  SELECT DISTINCT s_nationkey AS site_id, 'p' || l_partkey AS species
+  SELECT DISTINCT s_nationkey AS site_id, CASE WHEN l_partkey % 7 = 3 THEN 'q' ELSE 'p' END || l_partkey AS species
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 ),
 sites AS (SELECT DISTINCT site_id FROM presence)"""
 
+#: Ladders of customers, one for each nation, with the tips below each edge.
+LADDERS = """
+rungs AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS tree_id, c_custkey, row_number() OVER w AS k, count(*) OVER (PARTITION BY c_nationkey) AS n
+  FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)
+),
+ladders AS (
+  SELECT tree_id, 'c' || c_custkey AS edge_id, 'n' || (least(k, n - 1) - 1) AS parent, CAST(least(k, n - 1) - 1 AS DOUBLE) AS b,
+         least(k, n - 1) - 1 + CASE WHEN k % 3 = 0 THEN 1.0e0 ELSE 0.5e0 END AS d, true AS is_tip, 'c' || c_custkey AS label, k - 1 AS tip_lo, k AS tip_hi
+  FROM rungs WHERE n >= 2
+  UNION ALL
+  SELECT tree_id, 'n' || (k - 1), 'n' || (k - 2), CAST(k - 2 AS DOUBLE), CAST(k - 1 AS DOUBLE), false, NULL, k - 1, n FROM rungs WHERE n >= 2 AND k BETWEEN 2 AND n - 1
+)"""
+
 #: Trees pruned to species that occur somewhere, as rates want them. Their last common ancestor is the
 #: root here, whose stem is 0, unless one type is left.
 ALIGNED = """
@@ -210,13 +225,14 @@ rows_ AS (
 )"""
 
 
-def fit(source: str, keys: str, value: str, cumulative: str | None = None) -> str:
-    """fits: keys, total, rate, r_squared, converged. source has keys, j, age and the value. cumulative:
-    what running sums are divided by, if not by their total."""
+def fit(source: str, keys: str, value: str, cumulative: str | None = None, lo: float = LO, hi: float = HI) -> str:
+    """fits: keys, total, rate, r_squared, converged, at_lower_bound, at_upper_bound. source has keys, j, age
+    and the value. cumulative: what running sums are divided by, if not by their total."""
     by = cumulative or f"sum({value}) OVER (PARTITION BY {keys})"
-    slope = "list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * exp(-({r}) * a[i]) * (c[i] - exp(-({r}) * a[i]))))"
-    far = "list_sum(list_transform(range(1, len(a) + 1), lambda i: (c[i] - exp(-({r}) * a[i])) * (c[i] - exp(-({r}) * a[i]))))"
-    ratio = f"pow({HI}e0 / {LO}, 1.0e0 / {GRID - 1})"
+    total = lambda term: f"list_sum(list_transform(range(1, len(a) + 1), lambda i: {term}))"
+    u = "exp(-({r}) * a[i])"
+    far, slope, bend = total(f"(c[i] - {u}) * (c[i] - {u})"), total(f"a[i] * {u} * (c[i] - {u})"), total(f"a[i] * a[i] * {u} * (2 * {u} - c[i])")
+    ratio = f"pow({hi}e0 / {lo}, 1.0e0 / {GRID - 1})"
     return f"""
 running AS (
   SELECT {keys}, j, age, {value} AS v,
@@ -224,23 +240,27 @@ running AS (
 ),
 arrays AS (SELECT {keys}, list(age ORDER BY j) AS a, list(cum ORDER BY j) AS c, sum(v) AS total FROM running GROUP BY ALL),
 good AS (SELECT * FROM arrays WHERE total <> 0),
-grid AS (SELECT g, {LO} * pow({ratio}, g) AS r FROM (SELECT unnest(range({GRID})) AS g)),
-best AS (
-  SELECT {keys}, arg_min(r, {far.format(r='r')}) AS r0 FROM good, grid GROUP BY ALL
+coarse AS (
+  SELECT {keys}, arg_min(r, {far.format(r='r')}) AS r0 FROM good, (SELECT {lo} * pow({ratio}, g) AS r FROM (SELECT unnest(range({GRID})) AS g)) GROUP BY ALL
+),
+fine AS (
+  SELECT {keys}, arg_min(r, {far.format(r='r')}) AS r0
+  FROM (SELECT *, least({hi}, greatest({lo}, r0 * pow({ratio}, g / 20.0e0))) AS r FROM coarse JOIN good USING ({keys}), (SELECT unnest(range(-20, 21)) AS g)) GROUP BY {keys}
 ),
-halves(step, {keys}, lo, hi) AS (
-  SELECT 0, {keys}, greatest({LO}, r0 / {ratio}), least({HI}, r0 * {ratio}) FROM best
+newton(step, {keys}, r) AS (
+  SELECT 0, {keys}, r0 FROM fine
   UNION ALL
-  SELECT step + 1, {keys}, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (
-    SELECT h.*, (lo + hi) / 2 AS mid, {slope.format(r='lo')} * {slope.format(r='(lo + hi) / 2')} > 0 AS up
-    FROM halves h JOIN good USING ({keys}) WHERE step < {STEPS}
-  )
+  SELECT step + 1, {keys}, CASE WHEN bend > 0 THEN least({hi}, greatest({lo}, r - slope / bend)) ELSE r END
+  FROM (SELECT n.*, {slope.format(r='r')} AS slope, {bend.format(r='r')} AS bend FROM newton n JOIN good USING ({keys}) WHERE step < {STEPS})
 ),
 fits AS (
-  SELECT {keys}, total, rate, 1 - sse / nullif(list_sum(list_transform(c, lambda x: (x - list_avg(c)) * (x - list_avg(c)))), 0) AS r_squared, rate IS NOT NULL AS converged
+  SELECT {keys}, total, rate, 1 - sse / nullif(list_sum(list_transform(c, lambda x: (x - list_avg(c)) * (x - list_avg(c)))), 0) AS r_squared,
+         coalesce(rate <= {lo} * (1 + 1e-4) AND {slope.format(r=f'{lo}')} >= 0, false) AS at_lower_bound,
+         coalesce(rate >= {hi} * (1 - 1e-4) AND {slope.format(r=f'{hi}')} <= 0, false) AS at_upper_bound,
+         rate IS NOT NULL AND NOT at_lower_bound AND NOT at_upper_bound AS converged
   FROM (
-    SELECT {', '.join('g.' + k.strip() for k in keys.split(','))}, g.total, g.c, (lo + hi) / 2 AS rate, {far.format(r='(lo + hi) / 2')} AS sse
-    FROM arrays g LEFT JOIN (SELECT * FROM halves WHERE step = {STEPS}) USING ({keys})
+    SELECT {', '.join('g.' + k.strip() for k in keys.split(','))}, g.total, g.a, g.c, r AS rate, {far.format(r='r')} AS sse
+    FROM arrays g LEFT JOIN (SELECT * FROM newton WHERE step = {STEPS}) USING ({keys})
   )
 )"""
 
