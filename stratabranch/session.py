@@ -32,11 +32,15 @@ def reachable(spark: SparkSession) -> SparkSession:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpointed: computed once, kept in the shared folder of spark.checkpoint.dir (one of our own
-    where that is unset), and a short plan for what follows."""
+    """Checkpointed: computed once, kept in the shared folder of spark.checkpoint.dir, and a short plan for
+    what follows. Where that is unset, in a folder of our own on a local master; on a cluster that is a
+    mistake, since no other machine sees it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoints"))
     return df.checkpoint()
 
 

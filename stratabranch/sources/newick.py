@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.functions import udtf
 
+from stratabranch.session import settle
+from stratabranch.sources import files
+
 EDGE = "edge_id int, parent long, child long, length double, b double, d double, tip_lo long, tip_hi long, is_tip boolean, label string"
 #: A label that needs no quotes.
 _PLAIN = re.compile(r"[A-Za-z0-9_.\-|]+")
@@ -317,7 +320,9 @@ def parse_trees(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame(rows, columns=["tree_id", "reason", "root_edge", "edges"])
 
     fields = ",".join(":".join(f.split()) for f in EDGE.split(", "))
+    # Settled, since edges and rejects both read it, and each tree is parsed once.
     parsed = texts.select("tree_id", "newick").mapInPandas(run, f"tree_id string, reason string, root_edge double, edges array<struct<{fields}>>")
+    parsed = settle(parsed)
     edges = parsed.where("reason IS NULL").select("tree_id", "root_edge", F.inline("edges"))
     return edges, parsed.where("reason IS NOT NULL").select("tree_id", "reason")
 
@@ -342,21 +347,69 @@ def equal_trees(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "tree_id", "full").select("tree_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("equal"))
 
 
+def write_newick(texts: DataFrame, folder: str, force: bool = False, name: str = "{}.tre") -> int:
+    """A file for each tree (tree_id, newick) in a folder; how many were written. Texts pass through the
+    driver one at a time: for slices and other sets of trees that a person looks at. Pools are tables."""
+    spark = texts.sparkSession
+    if files.exists(spark, folder):
+        if not force:
+            raise FileExistsError(f"{folder} exists")
+        files.remove(spark, f"{folder}/{name.format('*')}")
+    n = 0
+    for row in texts.select("tree_id", "newick").orderBy("tree_id").toLocalIterator():
+        files.write_text(spark, f"{folder}/{name.format(row.tree_id)}", f"{row.newick}\n", True)
+        n += 1
+    return n
+
+
+def nexus(texts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, nexus: the NEXUS text of the trees (tree_id, newick) of each group, in order of tree_id. A group's
+    texts are one row."""
+    rows = F.sort_array(F.collect_list(F.struct("tree_id", "newick")))
+    line = F.transform(rows, lambda x: F.concat(F.lit("  TREE "), _nexus_name(x["tree_id"]), F.lit(" = "), x["newick"]))
+    return texts.groupBy(*by).agg(F.concat(F.lit("#NEXUS\nBEGIN TREES;\n"), F.array_join(line, "\n"), F.lit("\nEND;\n")).alias("nexus"))
+
+
+def _nexus_name(name):
+    plain = name.rlike(f"^(?:{_PLAIN.pattern})$")
+    return F.when(plain, name).otherwise(F.concat(F.lit("'"), F.replace(name, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
+def read_newick(spark: SparkSession, source: str) -> DataFrame:
+    """Edges of one tree: the first record of a file, else of the source itself if it looks like Newick. NEXUS
+    and bad trees are errors."""
+    if not any(c in source for c in "();") and not files.exists(spark, source):
+        raise FileNotFoundError(f"{source} is neither a file nor a Newick text")
+    if not any(c in source for c in "();") or files.exists(spark, source):
+        text = spark.read.text(source, wholetext=True).first()
+        source = text[0] if text else ""
+    if source.lstrip().upper().startswith("#NEXUS"):
+        raise TreeError("a NEXUS text; read it as a pool")
+    records = split_records(source)
+    if not records:
+        raise TreeError("no tree in the text")
+    tree = parse(records[0])
+    return spark.createDataFrame([("tree", *row) for row in tree.rows()], f"tree_id string, {EDGE}")
+
+
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
     """tree_id, draw, newick of the trees in a file, a directory or a glob, in order of file and
     record; NEXUS texts are told by their first word."""
     register(spark)
-    files = spark.read.option("pathGlobFilter", "*.{tre,tree,nwk,newick,nex,t}").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    texts = spark.read.option("pathGlobFilter", "*.{tre,tree,nwk,newick,nex,t}").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     # The filters stand below the table functions, which would fail on the other kind of text.
     is_nexus = F.upper(F.ltrim("value")).startswith("#NEXUS")
-    files.where(~is_nexus).createOrReplaceTempView("_pool_plain")
-    files.where(is_nexus).createOrReplaceTempView("_pool_nexus")
+    texts.where(~is_nexus).createOrReplaceTempView("_pool_plain")
+    texts.where(is_nexus).createOrReplaceTempView("_pool_nexus")
     plain = spark.sql("SELECT file, draw AS record, newick FROM _pool_plain, LATERAL split_newick(value)")
     nexus = spark.sql("SELECT file, draw AS record, newick FROM _pool_nexus, LATERAL parse_nexus(value)")
     from pyspark.sql import Window
 
-    order = F.row_number().over(Window.orderBy("file", "record")) - 1
-    return plain.unionByName(nexus).select(F.concat_ws("#", "file", F.col("record").cast("string")).alias("tree_id"), order.cast("long").alias("draw"), "newick")
+    found = settle(plain.unionByName(nexus))  # split once: read for numbers, and for trees
+    # Records are numbered within their file; files, a small table, by how many come before.
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = found.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    return found.join(offsets, "file").select(F.concat_ws("#", "file", F.col("record").cast("string")).alias("tree_id"), (F.col("before") + F.col("record")).cast("long").alias("draw"), "newick")
 
 
 class _Part(InputPartition):
@@ -365,8 +418,8 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, skip: bool):
+        self.path, self.skip = path, skip
 
     def partitions(self) -> list[_Part]:
         import glob
@@ -380,14 +433,26 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         with open(partition.path) as f:
-            for k, text in enumerate(split_records(f.read())):
-                for row in parse(text).rows():
-                    yield (f"{partition.path}#{k}", *row)
+            text = f.read()
+        try:
+            records = split_records(text)
+        except TreeError as e:
+            raise TreeError(f"{partition.path}: {e}") from e
+        for k, record in enumerate(records):
+            try:
+                tree = parse(record)
+            except TreeError as e:
+                if not self.skip:
+                    raise TreeError(f"{partition.path}#{k}: {e}") from e
+                continue
+            for row in tree.rows():
+                yield (f"{partition.path}#{k}", *row)
 
 
 class NewickSource(DataSource):
     """spark.read.format("newick").load(path): edge rows of the trees in files that every executor
-    can open. For other stores, use read_pool and parse_trees."""
+    can open. A bad tree costs itself only; option("mode", "failfast") makes it an error. For other stores,
+    and for the reasons of rejects, use read_pool and parse_trees."""
 
     @classmethod
     def name(cls) -> str:
@@ -397,4 +462,4 @@ class NewickSource(DataSource):
         return f"tree_id string, {EDGE}"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("mode", "dropmalformed").lower() != "failfast")

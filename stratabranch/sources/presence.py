@@ -33,13 +33,35 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return from_wide(wide.withColumnRenamed(first, "site_id"), "site_id")
 
 
+def _numbered(spark: SparkSession, path: str, header: bool) -> DataFrame:
+    """Rows of a CSV file with their number from 0, `_at`. Parts of the file are counted, and rows numbered
+    within them, so that rows don't meet in one task."""
+    from pyspark.sql import Window
+
+    rows = spark.read.option("header", header).option("inferSchema", False).csv(path).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.withColumn("_part", F.shiftright("_row", 33))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    return rows.join(F.broadcast(offsets), "_part").withColumn("_at", (F.col("_before") + F.col("_row") - F.shiftleft("_part", 33)).cast("int")).drop("_row", "_part", "_before")
+
+
+def site_order(spark: SparkSession, path: str) -> DataFrame:
+    """site_id, site_pos (from 0) of a wide CSV's rows."""
+    rows = _numbered(spark, path, True)
+    return rows.select(F.col(f"`{rows.columns[0]}`").alias("site_id"), F.col("_at").alias("site_pos"))
+
+
 def read_adjacency(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """focal, member (row and column numbers from 0) of a 0/1 matrix; with a header, the first column is
     the site and the order of columns that of sites."""
-    from pyspark.sql import Window
-
-    m = spark.read.option("header", header).option("inferSchema", False).csv(path)
-    names = m.columns[1:] if header else m.columns
-    numbered = m.withColumn("focal", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
-    rows = numbered.select("focal", F.posexplode(F.array(*(F.col(f"`{c}`").cast("double") for c in names))).alias("member", "v"))
+    m = _numbered(spark, path, header)
+    names = m.columns[1:-1] if header else m.columns[:-1]
+    rows = m.select(F.col("_at").alias("focal"), F.posexplode(F.array(*(F.col(f"`{c}`").cast("double") for c in names))).alias("member", "v"))
     return rows.where("v = 1").select("focal", "member")
+
+
+def named(adj: DataFrame, sites: DataFrame) -> DataFrame:
+    """adj with the names of sites (site_id, site_pos) for their places."""
+    focal, member = sites.select(F.col("site_pos").alias("focal"), F.col("site_id").alias("f")), sites.select(F.col("site_pos").alias("member"), F.col("site_id").alias("m"))
+    return adj.join(focal, "focal").join(member, "member").select(F.col("f").alias("focal"), F.col("m").alias("member"))

@@ -1,15 +1,16 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratabranch import simulate
 from stratabranch.functions import fit, stats
-from stratabranch.operators import beta, indices, posterior, rates, slicing
+from stratabranch.operators import beta, indices, posterior, rates, slicing, trees
 from stratabranch.sources import newick, presence
 
 
 def broom(spark, m):
     """m tips, each alone in its site, under one shared edge of length 1."""
-    text = f"(({','.join(f's{i}:1' for i in range(m))}):1,out:2);"
+    text = f"(({','.join(f's{i}:1' for i in range(m))}):1);"
     edges = newick.parse_trees(spark.createDataFrame([("t", text)], "tree_id string, newick string"))[0].drop("root_edge")
     present = spark.createDataFrame([(i, f"s{i}") for i in range(m)], "site_id int, species string")
     adj = spark.createDataFrame([(i, j) for i in range(m) for j in range(m)], "focal int, member int")
@@ -23,6 +24,100 @@ def test_broom(spark, m):
     assert {round(r.pb, 12) for r in beta.totals(edges, present, adj, domain="paired").collect()} == {0.5}
 
 
+def edges_of(spark, *texts):
+    return newick.parse_trees(spark.createDataFrame([(f"t{k}", x) for k, x in enumerate(texts)], "tree_id string, newick string"))[0].drop("root_edge")
+
+
+def test_gaps_are_pruned_everywhere(spark):
+    """Tips that no site has, and species that no tip is, change nothing: totals, series, rates, profiles,
+    sensitivity and bootstrap are those of the trees without them."""
+    edges = edges_of(spark, "(((A:1,B:1):1,(C:1,(D:0.5,E:0.5):0.5):1):1,(X:2,Y:2):1);")
+    whole = edges_of(spark, "((A:1,B:1):1,(C:1,(D:0.5):0.5):1);")
+    rows = [(0, "A"), (0, "B"), (1, "B"), (1, "C"), (2, "C"), (2, "D"), (2, "nobody"), (3, "nothing")]
+    gaps = spark.createDataFrame(rows, "site_id int, species string")
+    clean = gaps.where("species NOT IN ('nobody', 'nothing')")
+    adj = spark.createDataFrame([(i, j) for i in range(3) for j in range(3)], "focal int, member int")
+    plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.drop("tree_id", "edge_id", "residuals").collect()), key=str)
+    for weighted in (False, True):
+        assert plain(beta.totals(edges, gaps, adj, weighted=weighted)) == plain(beta.totals(whole, clean, adj, weighted=weighted))
+        assert plain(beta.series(edges, gaps, adj, 4, weighted=weighted)) == plain(beta.series(whole, clean, adj, 4, weighted=weighted))
+        assert plain(rates.cpb_rate(edges, gaps, adj, 4, weighted=weighted)) == plain(rates.cpb_rate(whole, clean, adj, 4, weighted=weighted))
+    here = F.col("site_id") < 3
+    for run in (rates.cpd_rate, rates.cpe_rate):
+        got = run(edges, gaps, 4)
+        assert plain(got.where(here)) == plain(run(whole, clean, 4))
+        lost = got.where(~here).first()  # a site whose species are on no tree says so
+        assert lost.reason == fit.EMPTY and not lost.converged and lost[2] is None
+    for index in ("PD", "PE", "PB", "PB_RW"):
+        assert plain(rates.rate_profile(edges, gaps, 4, index, adj).where(here)) == plain(rates.rate_profile(whole, clean, 4, index, adj))
+    assert {r.status for r in rates.rate_profile(edges, gaps, 4).where(~here).collect()} == {"empty_site"}
+    assert plain(rates.sensitivity(edges, gaps, (3, 6)).where(here)) == plain(rates.sensitivity(whole, clean, (3, 6)))
+    assert plain(posterior.bootstrap_sites(edges, clean, 6, n_slices=4)) == plain(posterior.bootstrap_sites(whole, clean, 6, n_slices=4))
+    with pytest.raises(ValueError, match="without a species"):
+        indices.matched(edges, gaps)
+    assert indices.matched(edges, clean).count() == clean.count()
+
+
+def test_trees_that_are_refused(spark):
+    crooked, flat = "((A:1,B:1):1,C:1.5);", "(A:0,B:0);"
+    present = spark.createDataFrame([(s, x) for s in range(2) for x in "ABC"], "site_id int, species string")
+    edges = edges_of(spark, crooked)
+    adj = spark.createDataFrame([(i, j) for i in range(2) for j in range(2)], "focal int, member int")
+    for run in (
+        lambda **o: rates.cpd_rate(edges, present, 3, **o),
+        lambda **o: rates.cpe_rate(edges, present, 3, **o),
+        lambda **o: rates.cpb_rate(edges, present, adj, 3, **o),
+        lambda **o: rates.rate_profile(edges, present, 3, **o),
+        lambda **o: rates.sensitivity(edges, present, (2, 3), **o),
+        lambda **o: posterior.bootstrap_sites(edges, present, 2, n_slices=3, **o),
+        lambda **o: slicing.rootward(edges, 1.0, **o),
+        lambda **o: slicing.tipward(edges, 1.0, **o),
+        lambda **o: slicing.interval(edges, 1.5, 0.5, **o),
+    ):
+        with pytest.raises(ValueError, match="ultrametric"):
+            run()
+        assert run(allow_non_ultrametric=True).count() > 0
+    with pytest.raises(ValueError, match="depth or length"):
+        slicing.windows(edges_of(spark, flat), 3, allow_non_ultrametric=True)
+    # In a pool a bad draw costs itself; a pool of bad draws only is an error.
+    pool = edges_of(spark, "((A:1,B:1):1,C:2);", crooked, flat)
+    draws = spark.createDataFrame([(f"t{k}", k) for k in range(3)], "tree_id string, draw int")
+    got = posterior.posterior_rate(pool, present, draws, n_slices=4)
+    assert {(r.n_trees, r.n_ultrametric_draws) for r in got.collect()} == {(1, 1)}
+    assert {(r.n_trees, r.n_ultrametric_draws) for r in posterior.posterior_rate(pool, present, draws, n_slices=4, allow_non_ultrametric=True).collect()} == {(2, 1)}
+    with pytest.raises(RuntimeError):
+        posterior.posterior_rate(edges_of(spark, flat), present, draws.where("draw = 0"), n_slices=4)
+
+
+def test_links_with_cycles_end(spark):
+    rows = [("tree", 9, 1, 1.0, None), ("tree", 1, 2, 2.0, "a"), ("tree", 1, 3, 0.5, "b"), ("tree", 5, 6, 1.0, None), ("tree", 6, 5, 1.0, None), ("tree", 6, 7, 1.0, "c"), ("ring", 1, 2, 1.0, None), ("ring", 2, 1, 1.0, None), ("self", 4, 4, 1.0, None)]
+    links = spark.createDataFrame(rows, "tree_id string, parent int, child int, length double, label string")
+    assert {(r.tree_id, r.node, r.depth) for r in trees.node_depths(links).collect()} == {("tree", 9, 0.0), ("tree", 1, 1.0), ("tree", 2, 3.0), ("tree", 3, 1.5)}
+    assert {r.node for r in trees.reachable(links).collect()} == {9, 1, 2, 3}
+    found = {(r.tree_id, r.problem) for r in trees.problems(links).collect()}
+    assert {t for t, p in found if p == "not reachable from a root"} == {"tree", "ring", "self"}
+    assert ("ring", "no root") in found and ("tree", "no root") not in found
+    assert trees.node_depths(links.limit(0)).count() == 0
+
+
+def test_solver_finds_the_lowest_valley():
+    r = np.random.default_rng(3)
+    ages = np.linspace(10, 0.1, 60)
+    profiles = r.random((200, 60)) ** 3 * np.exp(r.normal(0, 2.5, (200, 60)))
+    for cumulative in (False, True):
+        x = np.cumsum(profiles, axis=1) * 0.3 / profiles.sum(axis=1, keepdims=True) if cumulative else profiles
+        out = fit.solve(x, ages, cumulative=cumulative)
+        c = x if cumulative else np.cumsum(x, axis=1) / x.sum(axis=1, keepdims=True)
+        scan = np.exp(np.linspace(np.log(1e-6), np.log(50), 20_001))
+        least = np.min([((c - np.exp(-q * ages)) ** 2).sum(axis=1) for q in scan], axis=0)
+        mine = ((c - np.exp(-out.rate.to_numpy(float)[:, None] * ages)) ** 2).sum(axis=1)
+        assert (mine <= least * (1 + 1e-9)).all()
+        assert (out.converged | out.at_lower_bound | out.at_upper_bound).all()
+        assert out.r_squared.to_numpy(float) == pytest.approx(1 - mine / ((c - c.mean(axis=1, keepdims=True)) ** 2).sum(axis=1))
+    one = fit.solve(profiles[:1], ages, nodes=5).iloc[0]
+    assert one.n_iter > 0 and 1e-6 <= one.start_used <= 50
+
+
 def test_against_path_sets(spark):
     """PD and PE of sites, and Sorensen of pairs, from sets of edges."""
     text = simulate.yule(9, seed=3)

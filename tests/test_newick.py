@@ -88,3 +88,37 @@ def test_equal_trees(spark):
     frame = lambda *t: newick.parse_trees(spark.createDataFrame(list(t), "tree_id string, newick string"))[0]
     a, b = frame(("x", BALANCED), ("y", CATERPILLAR)), frame(("x", BALANCED), ("y", BALANCED), ("z", BALANCED))
     assert {r.tree_id: r.equal for r in newick.equal_trees(a, b).collect()} == {"x": True, "y": False, "z": False}
+
+
+def test_one_tree_and_files(spark, tmp_path):
+    (tmp_path / "a.tre").write_text("(A:1,B:1); (C:1,D:1);")
+    assert [r.label for r in newick.read_newick(spark, str(tmp_path / "a.tre")).where("is_tip").orderBy("edge_id").collect()] == ["A", "B"]
+    assert newick.read_newick(spark, "((x:1,y:1):1,z:2);").where("is_tip").count() == 3
+    for bad, error in ((str(tmp_path / "none.tre"), FileNotFoundError), ("#NEXUS (a,b);", newick.TreeError), ("(a,a);", newick.TreeError)):
+        with pytest.raises(error):
+            newick.read_newick(spark, bad)
+    texts = spark.createDataFrame([("t 1", "('it''s':1,B:1);", "x"), ("t2", "(A:1,B:2);", "x"), ("t3", "(A:3,B:4);", "y")], "tree_id string, newick string, g string")
+    found = {r.g: newick.nexus_trees(r.nexus) for r in newick.nexus(texts, ("g",)).collect()}
+    assert found == {"x": [("t 1", "('it''s':1,B:1);"), ("t2", "(A:1,B:2);")], "y": [("t3", "(A:3,B:4);")]}
+    folder = str(tmp_path / "out")
+    assert newick.write_newick(texts.where("g = 'y'").drop("g"), folder) == 1
+    with pytest.raises(FileExistsError):
+        newick.write_newick(texts.drop("g"), folder)
+    assert open(f"{folder}/t3.tre").read() == "(A:3,B:4);\n"
+
+
+def test_a_bad_tree_costs_itself(spark, tmp_path):
+    (tmp_path / "a.tre").write_text("(A:1,B:1);\n(A:1,A:1);\n(C:1,D:2);")
+    spark.dataSource.register(newick.NewickSource)
+    rows = spark.read.format("newick").load(str(tmp_path)).collect()
+    assert {r.label for r in rows} == set("ABCD") and {r.tree_id[-1] for r in rows} == {"0", "2"}
+    with pytest.raises(Exception, match="not unique"):
+        spark.read.format("newick").option("mode", "failfast").load(str(tmp_path)).collect()
+
+
+def test_pool_numbers_follow_files(spark, tmp_path):
+    (tmp_path / "b.tre").write_text("(A:1,B:1);")
+    (tmp_path / "a.nex").write_text("#NEXUS\nBEGIN TREES;\nTREE x = (A:1,B:1);\nTREE y = (A:2,B:2);\nEND;\n")
+    (tmp_path / "c.tre").write_text("(A:3,B:3);(A:4,B:4);")
+    found = newick.read_pool(spark, str(tmp_path)).orderBy("draw").collect()
+    assert [(r.draw, r.tree_id.rsplit("/", 1)[1]) for r in found] == [(0, "a.nex#0"), (1, "a.nex#1"), (2, "b.tre#0"), (3, "c.tre#0"), (4, "c.tre#1")]
