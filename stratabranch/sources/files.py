@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import SparkSession
 
 
@@ -11,8 +12,12 @@ def _store(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    store, place = _store(spark, path)
-    return bool(store.exists(place))
+    """Whether a path names a file or folder; a text that can't be a path names none."""
+    try:
+        store, place = _store(spark, path)
+        return bool(store.exists(place))
+    except IllegalArgumentException:
+        return False
 
 
 def write_text(spark: SparkSession, path: str, text: str, force: bool = False) -> None:
