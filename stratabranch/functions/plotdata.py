@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratabranch.session import settle
+
 
 def ecdf(values: DataFrame, value: str) -> DataFrame:
-    """value, ecdf: the share of rows up to and with each row, in order."""
-    w = Window.orderBy(value)
-    total = F.count("*").over(Window.partitionBy())
-    return values.where(F.col(value).isNotNull()).select(F.col(value), (F.row_number().over(w) / total).alias("ecdf"))
+    """value, ecdf: the share of rows up to and with each row, in order. Rows are sorted by range; a row's
+    place is that of its range's first, from a small table of counts, and its own within the range."""
+    rows = values.where(F.col(value).isNotNull()).select(value).orderBy(value).withColumn("_row", F.monotonically_increasing_id())
+    rows = settle(rows.withColumn("_part", F.shiftright("_row", 33)))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    place = F.col("_before") + F.col("_row") - F.shiftleft("_part", 33) + 1
+    return rows.join(F.broadcast(counts), "_part").select(value, (place / F.col("_all")).alias("ecdf"))
 
 
 def histogram(values: DataFrame, value: str, bins: int = 30) -> DataFrame:

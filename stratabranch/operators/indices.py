@@ -47,10 +47,13 @@ def unmatched(edges: DataFrame, presence: DataFrame) -> DataFrame:
 
 
 def membership(edges: DataFrame, presence: DataFrame) -> DataFrame:
-    """tree_id, site_id, edge_id, each once: an equi-join on the closure's labels. presence may be keyed
-    by tree_id."""
+    """tree_id, site_id, edge_id, each once: how far a site's tips reach down each heavy path says which of
+    its edges the site has. presence may be keyed by tree_id."""
     on = ["tree_id", "label"] if "tree_id" in presence.columns else ["label"]
-    return trees.closure(edges).select("tree_id", "label", "edge_id").join(presence.withColumnRenamed("species", "label"), on).select("tree_id", "site_id", "edge_id").distinct()
+    paths, below = trees.heavy_paths(edges)
+    found = below.drop("tip").join(presence.withColumnRenamed("species", "label"), on)
+    reached = found.groupBy("tree_id", "site_id", "path").agg(F.min("reach").alias("reach")).alias("r")
+    return reached.join(paths.alias("p"), F.expr("r.tree_id = p.tree_id AND r.path <=> p.path AND p.size >= r.reach")).select("r.tree_id", "r.site_id", "p.edge_id")
 
 
 def edge_ranges(member: DataFrame) -> DataFrame:

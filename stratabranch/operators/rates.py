@@ -35,7 +35,7 @@ def prepared(edges: DataFrame, presence: DataFrame, allow_non_ultrametric: bool
 def site_profiles(edges: DataFrame, presence: DataFrame, n_slices: int, criterion: str = "time", window_table: DataFrame | None = None, keys: tuple[str, ...] = (), sites: DataFrame | None = None) -> DataFrame:
     """tree_id, site_id, j, age, pd, pe of every site (those that presence names, if not given), zeros too."""
     w = slicing.windows(edges, n=n_slices, criterion=criterion) if window_table is None else window_table
-    found = indices.profile(indices.membership(edges, presence), slicing.contribution(edges, w), *keys)
+    found = indices.profile(settle(indices.membership(edges, presence)), slicing.contribution(edges, w), *keys)
     return indices.filled(presence.select("site_id") if sites is None else sites, w, found, *keys)
 
 

@@ -11,6 +11,8 @@ from stratabranch.operators import trees
 
 #: Breakpoints of a curve closer than this, relative to the tree's age, are one.
 MERGE = 1e-12
+#: Bands of depth that a tree's curve is summed in.
+BANDS = 256
 
 
 def pieces(total: float, width: float) -> tuple[int, float]:
@@ -47,16 +49,22 @@ def equal_time(tree_table: DataFrame, n: int | Column) -> DataFrame:
 
 def pd_curve(edges: DataFrame) -> DataFrame:
     """tree_id, depth, next_depth, active, pd_lo, pd_hi: the diversity above each depth, in pieces that
-    are straight. A sweep: every edge adds one branch at its upper end and takes it off at its lower."""
+    are straight. A sweep: every edge adds one branch at its upper end and takes it off at its lower.
+    Running sums go within bands of depth, to which what the bands before hold is added, so that a
+    tree isn't one task. Depths that differ by rounding only are one."""
     events = edges.where("d > b").select("tree_id", F.explode(F.array(F.struct(F.col("b").alias("depth"), F.lit(1).alias("step")), F.struct(F.col("d").alias("depth"), F.lit(-1).alias("step")))).alias("e")).select("tree_id", "e.*")
-    order = Window.partitionBy("tree_id").orderBy("depth")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    # Breakpoints that differ by rounding only would make pieces of no width.
-    fresh = F.coalesce(F.col("depth") - F.lag("depth").over(order) > F.lit(MERGE) * F.max("depth").over(Window.partitionBy("tree_id")), F.lit(True))
-    points = events.groupBy("tree_id", "depth").agg(F.sum("step").alias("step")).withColumn("piece", F.sum(fresh.cast("int")).over(upto)).groupBy("tree_id", "piece").agg(F.min("depth").alias("depth"), F.sum("step").alias("step"))
-    wide = points.withColumn("active", F.sum("step").over(upto)).withColumn("next_depth", F.lead("depth").over(order)).where("next_depth IS NOT NULL")
-    area = F.col("active") * (F.col("next_depth") - F.col("depth"))
-    return wide.withColumn("pd_hi", F.sum(area).over(upto)).select("tree_id", "depth", "next_depth", "active", (F.col("pd_hi") - area).alias("pd_lo"), "pd_hi")
+    ages = edges.groupBy("tree_id").agg(F.max("d").alias("_age"))
+    near = F.round(F.col("depth") / (F.lit(MERGE) * F.col("_age"))).cast("long")
+    points = events.join(ages, "tree_id").groupBy("tree_id", near.alias("_at")).agg(F.min("depth").alias("depth"), F.sum("step").alias("step")).withColumn("_band", (F.col("_at") * F.lit(MERGE * BANDS)).cast("int"))
+    band = Window.partitionBy("tree_id", "_band").orderBy("_at")
+    upto = band.rowsBetween(Window.unboundedPreceding, 0)
+    bands = Window.partitionBy("tree_id").orderBy("_band")
+    earlier = bands.rowsBetween(Window.unboundedPreceding, -1)
+    steps = points.groupBy("tree_id", "_band").agg(F.sum("step").alias("_s"), F.min("depth").alias("_first")).select("tree_id", "_band", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"), F.lead("_first").over(bands).alias("_next"))
+    wide = points.join(steps, ["tree_id", "_band"]).withColumn("active", F.col("_before") + F.sum("step").over(upto)).withColumn("next_depth", F.coalesce(F.lead("depth").over(band), "_next")).where("next_depth IS NOT NULL")
+    wide = wide.withColumn("_area", F.col("active") * (F.col("next_depth") - F.col("depth"))).select("tree_id", "_band", "_at", "depth", "next_depth", "active", "_area")
+    areas = wide.groupBy("tree_id", "_band").agg(F.sum("_area").alias("_s")).select("tree_id", "_band", F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_before"))
+    return wide.join(areas, ["tree_id", "_band"]).withColumn("pd_hi", F.col("_before") + F.sum("_area").over(upto)).select("tree_id", "depth", "next_depth", "active", (F.col("pd_hi") - F.col("_area")).alias("pd_lo"), "pd_hi")
 
 
 def depth_for_pd(curve: DataFrame, targets: DataFrame) -> DataFrame:
@@ -66,8 +74,10 @@ def depth_for_pd(curve: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.join(last, "tree_id").withColumn("_pd", F.when(F.abs(F.col("pd") - F.col("_total")) <= F.lit(1e-9) * F.col("_total"), F.col("_total")).otherwise(F.col("pd")))
     return (
         t.join(c, "tree_id")
-        .where("(pd_lo < _pd AND _pd <= pd_hi) OR (_pd = 0 AND pd_lo = 0)")
-        .select(*targets.columns, F.when(F.col("_pd") == F.col("pd_hi"), F.col("next_depth")).otherwise(F.col("depth") + (F.col("_pd") - F.col("pd_lo")) / F.col("active")).alias("depth"))
+        # Borders of pieces may differ by rounding; a target between two, or in both, has one depth.
+        .where("(pd_lo - 1e-12 * _total < _pd AND _pd <= pd_hi + 1e-12 * _total)")
+        .dropDuplicates(targets.columns)
+        .select(*targets.columns, F.when(F.col("_pd") >= F.col("pd_hi"), F.col("next_depth")).otherwise(F.col("depth") + F.greatest(F.lit(0.0), F.col("_pd") - F.col("pd_lo")) / F.col("active")).alias("depth"))
     )
 
 

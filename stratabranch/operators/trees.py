@@ -14,6 +14,8 @@ from stratabranch.session import settle
 
 #: Spread of tip depths, relative to the largest, up to which a tree is ultrametric.
 SPREAD = 1e-8
+#: Tips that a running count goes over in one task.
+STRETCH = 4_096
 
 
 def summary(edges: DataFrame, spread: float = SPREAD) -> DataFrame:
@@ -64,6 +66,32 @@ def closure(edges: DataFrame) -> DataFrame:
     return below.join(tips, ["tree_id", "tip"]).select("tree_id", "tip", "label", "edge_id")
 
 
+def heavy_paths(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trees cut into paths from which most tips never turn off: below each node the child with most tips goes
+    on, and every other edge, a light one, heads a path of its own. A tip is below as many light edges as its tree's
+    size has binary digits at most, however deep the tree is.
+
+    Returns (tree_id, path, edge_id, size) of every edge, and (tree_id, tip, label, path, reach): the edges of a path
+    that are above a tip are those of at least reach tips. path: the edge at the head, null for that of the root.
+    """
+    size = F.col("tip_hi") - F.col("tip_lo")
+    first = F.row_number().over(Window.partitionBy("tree_id", "parent").orderBy(F.desc("size"), "tip_lo", "edge_id"))
+    # What the parent's own edge holds; nothing is above the root.
+    above = edges.select("tree_id", F.col("child").alias("parent"), size.alias("holds"))
+    marked = edges.withColumn("size", size).withColumn("light", first > 1)
+    light = marked.where("light").join(above, ["tree_id", "parent"], "left").select("tree_id", F.col("edge_id").alias("path"), "tip_lo", "tip_hi", "size", F.coalesce("holds", F.lit(2**62)).alias("holds"))
+    tips = edges.where("is_tip").select("tree_id", F.col("tip_lo").alias("tip"), "label")
+    under = light.select("tree_id", F.explode(F.sequence(F.col("tip_lo"), F.col("tip_hi") - 1)).alias("tip"), "path", "size", "holds")
+    under = under.unionByName(tips.select("tree_id", "tip", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("path"), F.lit(2**62).alias("size"), F.lit(2**62).alias("holds")))
+    # A tip leaves a path at the node where the next light edge above it begins.
+    leaves = F.lead("holds").over(Window.partitionBy("tree_id", "tip").orderBy(F.desc("size")))
+    under = under.withColumn("reach", F.coalesce(leaves, F.lit(0)))
+    heads = under.select("tree_id", F.col("tip").alias("tip_lo"), "path", F.col("size").alias("head"))
+    own = marked.select("tree_id", "edge_id", "tip_lo", "size").join(heads, ["tree_id", "tip_lo"]).where("head >= size")
+    paths = own.groupBy("tree_id", "edge_id").agg(F.min(F.struct("head", "path")).alias("h"), F.first("size").alias("size")).select("tree_id", "h.path", "edge_id", "size")
+    return paths, under.join(tips, ["tree_id", "tip"]).select("tree_id", "tip", "label", "path", "reach")
+
+
 def tip_intervals(pairs: DataFrame) -> DataFrame:
     """tree_id, edge_id, tip_lo, tip_hi of a closure."""
     return pairs.groupBy("tree_id", "edge_id").agg(F.min("tip").alias("tip_lo"), (F.max("tip") + 1).alias("tip_hi"))
@@ -130,20 +158,26 @@ def prune(edges: DataFrame, keep: DataFrame, leave_whole: bool = False) -> DataF
     don't come out. leave_whole: trees that keep all tips stay as they are.
 
     Kept tips are counted along the tree, so an edge's count is a difference of two running counts,
-    and no tip is paired with the edges above it.
+    and no tip is paired with the edges above it. Counts run within stretches of STRETCH tips, to which what
+    is kept before them is added, so that a tree isn't one task.
     """
-    tree = Window.partitionBy("tree_id")
-    along = tree.orderBy("tip").rowsBetween(Window.unboundedPreceding, 0)
     wanted = keep.select("tree_id", "label").distinct().withColumn("_kept", F.lit(1))
-    tips = edges.where("is_tip").select("tree_id", F.col("tip_lo").alias("tip"), "label").join(wanted, ["tree_id", "label"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(0)))
-    counts = tips.select("tree_id", "tip", (F.sum("_kept").over(along) - F.col("_kept")).alias("_before"), F.sum("_kept").over(along).alias("_upto"), F.sum("_kept").over(tree).alias("_all"), F.count("*").over(tree).alias("_tips"))
+    tips = edges.where("is_tip").select("tree_id", F.col("tip_lo").alias("tip"), "label").join(wanted, ["tree_id", "label"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(0))).withColumn("_stretch", F.floor(F.col("tip") / STRETCH))
+    sums = tips.groupBy("tree_id", "_stretch").agg(F.sum("_kept").alias("_k"), F.count("*").alias("_n"))
+    tree = Window.partitionBy("tree_id")
+    earlier = F.sum("_k").over(tree.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("tree_id", "_stretch", F.coalesce(earlier, F.lit(0)).alias("_offset"), F.sum("_k").over(tree).alias("_all"), F.sum("_n").over(tree).alias("_tips"))
+    along = Window.partitionBy("tree_id", "_stretch").orderBy("tip").rowsBetween(Window.unboundedPreceding, 0)
+    counts = tips.join(sums, ["tree_id", "_stretch"]).withColumn("_upto", F.col("_offset") + F.sum("_kept").over(along)).withColumn("_before", F.col("_upto") - F.col("_kept"))
     lo = counts.select("tree_id", F.col("tip").alias("tip_lo"), F.col("_before").alias("_lo"), "_all", "_tips")
     hi = counts.select("tree_id", (F.col("tip") + 1).alias("tip_hi"), F.col("_upto").alias("_hi"))
     whole = (F.col("_all") == F.col("_tips")) if leave_whole else F.lit(False)
     n = F.col("_hi") - F.col("_lo")
-    stem = F.when(whole, 0.0).otherwise(F.coalesce(F.max(F.when(n == F.col("_all"), F.col("d"))).over(tree), F.lit(0.0)))
-    own = edges.join(lo, ["tree_id", "tip_lo"]).join(hi, ["tree_id", "tip_hi"]).where(F.col("_all") >= 2).withColumn("_stem", stem)
-    return own.where((n > 0) & ((n < F.col("_all")) | whole)).withColumns({"b": F.col("b") - F.col("_stem"), "d": F.col("d") - F.col("_stem"), "tip_lo": F.col("_lo"), "tip_hi": F.col("_hi")}).select(*edges.columns)
+    own = edges.join(lo, ["tree_id", "tip_lo"]).join(hi, ["tree_id", "tip_hi"]).where((F.col("_all") >= 2) & (n > 0))
+    # Edges that hold all kept tips are above their last common ancestor.
+    stems = own.where((n == F.col("_all")) & ~whole).groupBy("tree_id").agg(F.max("d").alias("_stem"))
+    own = own.where((n < F.col("_all")) | whole).join(stems, "tree_id", "left").withColumn("_stem", F.coalesce("_stem", F.lit(0.0)))
+    return own.withColumns({"b": F.col("b") - F.col("_stem"), "d": F.col("d") - F.col("_stem"), "tip_lo": F.col("_lo"), "tip_hi": F.col("_hi")}).select(*edges.columns)
 
 
 def collapse(edges: DataFrame, by: tuple[str, ...] = ("tree_id",)) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratabranch import compat
+from stratabranch import compat, simulate
 from stratabranch.operators import slicing, trees
 from stratabranch.sources import newick
 
@@ -73,3 +73,51 @@ def test_depths_summary_and_problems(spark):
     links = spark.createDataFrame([("x", 1, 2, 1.0, "a"), ("x", 2, 1, 1.0, None), ("y", 0, 1, float("nan"), "a"), ("y", 0, 2, -1.0, "a")], "tree_id string, parent long, child long, length double, label string")
     found = {(r.tree_id, r.problem) for r in trees.problems(links).collect()}
     assert found >= {("x", "no root"), ("y", "length not finite"), ("y", "negative length"), ("y", "labels not unique")}
+
+
+def test_curve_in_bands(spark, monkeypatch):
+    """The same curve in one band and in many, and as a sweep over all borders has it."""
+    text = simulate.birth_death(40, seed=5)
+    tree = newick.parse(text)
+    edges = newick.parse_trees(spark.createDataFrame([("t", text)], "tree_id string, newick string"))[0]
+    rows = tree.rows()
+    got = {}
+    for bands in (1, 7, 256):
+        monkeypatch.setattr(slicing, "BANDS", bands)
+        got[bands] = sorted((r.depth, r.next_depth, r.active, r.pd_hi) for r in slicing.pd_curve(edges).collect())
+    for bands in (7, 256):
+        assert len(got[bands]) == len(got[1])
+        for a, b in zip(got[bands], got[1]):
+            assert a == pytest.approx(b, rel=1e-9)
+    for depth, nxt, active, pd_hi in got[256]:
+        middle = (depth + nxt) / 2
+        if nxt - depth < 1e-9:  # tips whose depths were rounded differently in the text
+            continue
+        assert active == sum(x[4] <= middle < x[5] for x in rows)
+        assert pd_hi == pytest.approx(sum(max(0, min(nxt, x[5]) - x[4]) for x in rows))
+    total = sum(x[3] for x in rows)
+    cuts = slicing.windows(edges, 6, criterion="pd").orderBy("j").collect()
+    assert [sum(max(0, min(x[5], w.hi) - max(x[4], w.lo)) for x in rows) for w in cuts] == pytest.approx([total / 6] * 6)
+
+
+def test_heavy_paths_are_the_closure(spark):
+    ladder = "(" * 40 + "x0:1" + "".join(f",x{k}:{k}):1" for k in range(1, 41)) + ";"
+    texts = [simulate.yule(30, seed=1), simulate.birth_death(25, seed=2), ladder, "((((a:1,b:1):1):1,c:3):1);", "((a:1):1,(b:0):2,((c:1,d:1):0):1);"]
+    edges = newick.parse_trees(spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)], "tree_id string, newick string"))[0]
+    paths, below = trees.heavy_paths(edges)
+    p, b = paths.alias("p"), below.alias("b")
+    got = b.join(p, F.expr("b.tree_id = p.tree_id AND b.path <=> p.path AND p.size >= b.reach")).select("b.tree_id", "b.tip", "b.label", "p.edge_id")
+    want = trees.closure(edges)
+    assert got.count() == want.count() == want.intersect(got).count()
+    most = below.groupBy("tree_id", "tip").count().groupBy("tree_id").agg(F.max("count").alias("n")).collect()
+    assert {r.tree_id: r.n for r in most}["2"] <= 3  # of a ladder's tips, none is below many paths
+
+
+def test_pruning_in_stretches(spark, monkeypatch):
+    edges = newick.parse_trees(spark.createDataFrame([("t", simulate.yule(50, seed=3)), ("u", "((A:1,B:1):1,C:2);")], "tree_id string, newick string"))[0]
+    keep = edges.where("is_tip AND (tip_lo % 3 = 1 OR tree_id = 'u')").select("tree_id", "label")
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    want = plain(trees.prune(edges, keep))
+    for size in (1, 4, 7):
+        monkeypatch.setattr(trees, "STRETCH", size)
+        assert plain(trees.prune(edges, keep)) == want
