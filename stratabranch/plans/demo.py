@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from stratabranch.session import settle, table
 
 AGE = 10.0
+#: Derived tables of a session, which many queries start from: (application, what, folder, draws) -> table.
+_MADE: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, what: str, sf_dir: str, draws: int, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, what, sf_dir, draws)
+    if key not in _MADE:
+        _MADE[key] = settle(make())
+    return _MADE[key]
 
 
 def tips(spark: SparkSession, sf_dir: str, draws: int = 1) -> DataFrame:
@@ -27,12 +36,16 @@ def tips(spark: SparkSession, sf_dir: str, draws: int = 1) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str, draws: int = 1) -> DataFrame:
     """Edge rows; edge_id, parent and child are names of nodes."""
+    return _once(spark, "edges", sf_dir, draws, lambda: _edges(spark, sf_dir, draws))
+
+
+def _edges(spark: SparkSession, sf_dir: str, draws: int) -> DataFrame:
     kind, brand = F.concat(F.lit("T:"), F.col("p_type")), F.concat(F.lit("B:"), F.col("p_type"), F.lit(":"), F.col("p_brand"))
     name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
     row = lambda c, p, b, d, tip: F.struct(c.alias("child"), p.alias("parent"), b.alias("b"), d.alias("d"), F.lit(tip).alias("is_tip"))
     above = F.array(row(kind, F.lit("root"), F.lit(0.0), F.col("dt"), False), row(brand, kind, F.col("dt"), F.col("db"), False), row(name, brand, F.col("db"), F.lit(AGE), True))
     rows = tips(spark, sf_dir, draws).select("tree_id", "tip", F.explode(above).alias("e")).select("tree_id", "tip", "e.*")
-    return settle(
+    return (
         rows.groupBy("tree_id", "child", "parent", "b", "d", "is_tip")
         .agg(F.min("tip").alias("tip_lo"), (F.max("tip") + 1).alias("tip_hi"))
         .select("tree_id", F.col("child").alias("edge_id"), "parent", "child", (F.col("d") - F.col("b")).alias("length"), "b", "d", "tip_lo", "tip_hi", "is_tip", F.when(F.col("is_tip"), F.col("child")).alias("label"))
@@ -65,9 +78,13 @@ def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site_id (the nation), species, each once."""
+    return _once(spark, "presence", sf_dir, 0, lambda: _presence(spark, sf_dir))
+
+
+def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return settle(lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("site_id"), F.concat(F.when(F.col("l_partkey") % 7 == 3, F.lit("q")).otherwise(F.lit("p")), F.col("l_partkey").cast("string")).alias("species")).distinct())
+    return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("site_id"), F.concat(F.when(F.col("l_partkey") % 7 == 3, F.lit("q")).otherwise(F.lit("p")), F.col("l_partkey").cast("string")).alias("species")).distinct()
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
