@@ -45,7 +45,7 @@ from stratabranch.llm.common import over_batches, tune
 #: Pages learned from (those with the smallest hashes), and blocks of them at most; pages made.
 TRAIN_PAGES = 2_000
 TRAIN_BLOCKS = 40_000
-MADE_PAGES = 400
+MADE_PAGES = 800
 
 # Names of HTML elements by what they do to text, and words of class and id
 # attributes that name page furniture.
