@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratabranch.operators import trees
+from stratabranch.operators import slicing, trees
 from stratabranch.session import settle
 
 
@@ -14,15 +14,18 @@ def align(edges: DataFrame, presence: DataFrame) -> tuple[DataFrame, DataFrame,
     (tree_id, action, n). Presence comes back keyed by tree_id. Trees of under two shared species are
     reported as rejected and don't come out. The trees come back checkpointed: they are read
     several times.
+
+    Of a pool that was made from few rows, a plan thinks too little, and would send all its edges through the
+    driver; the hint holds for the next join of whatever comes from them.
     """
+    edges = edges.hint("merge")
     species = presence.select(F.col("species").alias("label")).distinct()
     marked = edges.where("is_tip").select("tree_id", "label").join(species.withColumn("_hit", F.lit(1)), "label", "left")
     n_species = species.agg(F.count("*").alias("n_species"))  # one row
     counts = marked.groupBy("tree_id").agg(F.count("*").alias("n_tips"), F.count("_hit").alias("n")).join(F.broadcast(n_species))
     actions = (("pruned_tips", F.col("n_tips") - F.col("n")), ("dropped_species", F.col("n_species") - F.col("n")), ("shared", F.col("n")), ("rejected", (F.col("n") < 2).cast("int")))
     report = counts.select("tree_id", F.inline(F.array(*(F.struct(F.lit(a).alias("action"), x.cast("long").alias("n")) for a, x in actions))))
-    keep = marked.where("_hit = 1").select("tree_id", "label")
-    pruned = settle(trees.prune(edges, keep, leave_whole=True))
+    pruned = settle(trees.prune(edges, species, leave_whole=True))
     kept = pruned.where("is_tip").select("tree_id", F.col("label").alias("species")).join(presence, "species").select("tree_id", "site_id", "species")
     return pruned, kept, report
 
@@ -47,13 +50,23 @@ def unmatched(edges: DataFrame, presence: DataFrame) -> DataFrame:
 
 
 def membership(edges: DataFrame, presence: DataFrame) -> DataFrame:
-    """tree_id, site_id, edge_id, each once: how far a site's tips reach down each heavy path says which of
-    its edges the site has. presence may be keyed by tree_id."""
+    """tree_id, site_id, edge_id, each once: a site's tips, and above them, how far they reach down each heavy
+    path says which of its edges the site has. Tips of one node are below the same edges, so that one of those
+    that a site has there will do. presence may be keyed by tree_id."""
+    return members(edges, presence)
+
+
+def members(edges: DataFrame, presence: DataFrame, *more: str) -> DataFrame:
+    """membership, with more columns of the edges."""
     on = ["tree_id", "label"] if "tree_id" in presence.columns else ["label"]
-    paths, below = trees.heavy_paths(edges)
-    found = below.drop("tip").join(presence.withColumnRenamed("species", "label"), on)
+    tips = edges.where("is_tip").select("tree_id", "edge_id", "parent", "label", "tip_lo", *more)
+    own = tips.join(presence.select(*on[:-1], "site_id", F.col("species").alias("label")).distinct(), on)
+    paths, below = trees.heavy_paths(edges, inner=True)
+    found = own.groupBy("tree_id", "site_id", "parent").agg(F.min("tip_lo").alias("tip")).join(below.drop("label"), ["tree_id", "tip"])
     reached = found.groupBy("tree_id", "site_id", "path").agg(F.min("reach").alias("reach")).alias("r")
-    return reached.join(paths.alias("p"), F.expr("r.tree_id = p.tree_id AND r.path <=> p.path AND p.size >= r.reach")).select("r.tree_id", "r.site_id", "p.edge_id")
+    inner = paths.join(edges.where("NOT is_tip").select("tree_id", "edge_id", *more), ["tree_id", "edge_id"]).alias("p")
+    above = reached.join(inner, F.expr("r.tree_id = p.tree_id AND r.path <=> p.path AND p.size >= r.reach")).select("r.tree_id", "r.site_id", "p.edge_id", *more)
+    return own.select("tree_id", "site_id", "edge_id", *more).unionByName(above)
 
 
 def edge_ranges(member: DataFrame) -> DataFrame:
@@ -79,6 +92,13 @@ def profile(member: DataFrame, contributions: DataFrame, *keys: str) -> DataFram
     return member.join(weighed, ["tree_id", "edge_id"]).groupBy("tree_id", *keys, "site_id", "j").agg(F.sum("c").alias("pd"), F.sum(F.col("c") / F.col("n")).alias("pe"))
 
 
+def profile_pd(edges: DataFrame, presence: DataFrame, window_table: DataFrame, *keys: str) -> DataFrame:
+    """tree_id, site_id, j, pd: profile without pe, for which edges needn't know their ranges. Edges meet windows
+    where sites have them, and are summed there and then; window_table is a small one."""
+    own = members(edges, presence, "b", "d").join(F.broadcast(window_table.drop("age")), "tree_id").where("d > lo AND b < hi")
+    return own.groupBy("tree_id", *keys, "site_id", "j").agg(F.sum(slicing.overlap()).alias("pd"))
+
+
 def filled(sites: DataFrame, window_table: DataFrame, profiles: DataFrame, *keys: str) -> DataFrame:
     """profiles with zeros where a site (site_id) has nothing in a window, and its age. Every site meets
     every window because the dense profile is the result."""

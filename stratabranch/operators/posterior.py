@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratabranch.functions import fit, stats
 from stratabranch.operators import indices, rates, trees
+from stratabranch.session import settle
 
 
 def _samples(value: str):
@@ -17,12 +18,16 @@ def _samples(value: str):
 def draw_rates(edges: DataFrame, presence: DataFrame, draws: DataFrame, rate: str, n_slices: int, allow_non_ultrametric: bool = False, **options) -> DataFrame:
     """The rate frames of all draws that can be used, with their place. Draws that aren't ultrametric (unless that
     is allowed), or degenerate over the shared species, don't count; without any left, that is an error."""
-    pruned, kept, _ = indices.align(edges, presence)
-    fine = trees.usable(pruned, allow_non_ultrametric)
-    if not fine.limit(1).count():
+    pruned, _, _ = indices.align(edges, presence)
+    # A row for each tree, read several times. Presence needn't be keyed by tree: the tips say what a tree has.
+    table = settle(trees.summary(pruned))
+    fine = table.where("NOT degenerate" if allow_non_ultrametric else "NOT degenerate AND ultrametric")
+    n, of = fine.count(), table.count()
+    if not n:
         raise RuntimeError("no draw of the pool can be used")
+    left = pruned if n == of else pruned.join(F.broadcast(fine.select("tree_id")), "tree_id", "left_semi")
     index = {"cpd": "pd", "cpe": "pe"}[rate]
-    return rates.fitted(fine, kept, presence.select("site_id").distinct(), n_slices, index, **options).join(draws.select("tree_id", "draw"), "tree_id")
+    return rates.fitted(left, presence, presence.select("site_id").distinct(), n_slices, index, table=fine, n_trees=n, **options).join(draws.select("tree_id", "draw"), "tree_id")
 
 
 def posterior_rate(edges: DataFrame, presence: DataFrame, draws: DataFrame, rate: str = "cpd", n_slices: int = 100, level: float = 0.95, **options) -> DataFrame:

@@ -10,6 +10,8 @@ from stratabranch.operators import beta, indices, slicing, trees
 from stratabranch.session import settle
 
 BEYOND = "origin extrapolated beyond root"
+#: Windows of all trees up to which they go to every task whole.
+FEW = 100_000
 
 
 def frame(fits: DataFrame, table: DataFrame, names: tuple[str, str, str], percentile: float = 0.95, keys: tuple[str, ...] = ("site_id",)) -> DataFrame:
@@ -44,12 +46,18 @@ def site_rate(edges: DataFrame, presence: DataFrame, n_slices: int = 100, index:
     return fitted(*prepared(edges, presence, allow_non_ultrametric), n_slices, index, criterion, percentile, bounds)
 
 
-def fitted(edges: DataFrame, presence: DataFrame, sites: DataFrame, n_slices: int = 100, index: str = "pd", criterion: str = "time", percentile: float = 0.95, bounds=fit.BOUNDS) -> DataFrame:
-    """The rate frame of trees and presence that have been prepared."""
-    profiles = site_profiles(edges, presence, n_slices, criterion, sites=sites)
+def fitted(edges: DataFrame, presence: DataFrame, sites: DataFrame, n_slices: int = 100, index: str = "pd", criterion: str = "time", percentile: float = 0.95, bounds=fit.BOUNDS, table: DataFrame | None = None, n_trees: int | None = None) -> DataFrame:
+    """The rate frame of trees and presence that have been prepared. table: the trees' summary, and n_trees how
+    many there are, if known."""
+    table = trees.summary(edges) if table is None else table
+    if index == "pd" and n_trees is not None and n_trees * n_slices <= FEW:
+        w = slicing.equal_time(table.select("tree_id", "root_age"), n_slices) if criterion == "time" else slicing.windows(edges, n=n_slices, criterion=criterion)
+        profiles = indices.filled(sites, w, indices.profile_pd(edges, presence, w))
+    else:
+        profiles = site_profiles(edges, presence, n_slices, criterion, sites=sites)
     fits = fit.fit_profiles(profiles, ["tree_id", "site_id"], index, bounds)
     names = ("CpD", "PD", "pDO") if index == "pd" else ("CpE", "PE", "pEO")
-    return frame(fits, trees.summary(edges), names, percentile)
+    return frame(fits, table, names, percentile)
 
 
 def cpd_rate(edges: DataFrame, presence: DataFrame, n_slices: int = 100, **options) -> DataFrame:

@@ -66,30 +66,33 @@ def closure(edges: DataFrame) -> DataFrame:
     return below.join(tips, ["tree_id", "tip"]).select("tree_id", "tip", "label", "edge_id")
 
 
-def heavy_paths(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def heavy_paths(edges: DataFrame, inner: bool = False) -> tuple[DataFrame, DataFrame]:
     """Trees cut into paths from which most tips never turn off: below each node the child with most tips goes
     on, and every other edge, a light one, heads a path of its own. A tip is below as many light edges as its tree's
     size has binary digits at most, however deep the tree is.
 
     Returns (tree_id, path, edge_id, size) of every edge, and (tree_id, tip, label, path, reach): the edges of a path
     that are above a tip are those of at least reach tips. path: the edge at the head, null for that of the root.
+    inner: without tips' own edges, and the paths that these head; a tip's edge may still end one of the paths.
     """
     size = F.col("tip_hi") - F.col("tip_lo")
     first = F.row_number().over(Window.partitionBy("tree_id", "parent").orderBy(F.desc("size"), "tip_lo", "edge_id"))
     # What the parent's own edge holds; nothing is above the root.
-    above = edges.select("tree_id", F.col("child").alias("parent"), size.alias("holds"))
-    marked = edges.withColumn("size", size).withColumn("light", first > 1)
-    light = marked.where("light").join(above, ["tree_id", "parent"], "left").select("tree_id", F.col("edge_id").alias("path"), "tip_lo", "tip_hi", "size", F.coalesce("holds", F.lit(2**62)).alias("holds"))
-    tips = edges.where("is_tip").select("tree_id", F.col("tip_lo").alias("tip"), "label")
-    under = light.select("tree_id", F.explode(F.sequence(F.col("tip_lo"), F.col("tip_hi") - 1)).alias("tip"), "path", "size", "holds")
-    under = under.unionByName(tips.select("tree_id", "tip", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("path"), F.lit(2**62).alias("size"), F.lit(2**62).alias("holds")))
+    above = edges.where("NOT is_tip").select("tree_id", F.col("child").alias("parent"), size.alias("holds"))
+    marked = edges.withColumn("size", size).withColumn("light", first > 1).join(above, ["tree_id", "parent"], "left").withColumn("holds", F.coalesce("holds", F.lit(2**62)))
+    light = marked.where("light AND NOT is_tip" if inner else "light")
+    under = light.select("tree_id", F.explode(F.sequence(F.col("tip_lo"), F.col("tip_hi") - 1)).alias("tip"), "label", F.col("edge_id").alias("path"), "size", "holds", F.lit(0).cast("long").alias("least"))
+    # Where a tip's own light edge isn't among them, the tip knows where it leaves the last path.
+    least = F.when(F.col("light") & F.lit(inner), F.col("holds")).otherwise(F.lit(0)).cast("long")
+    top = F.lit(2**62)
+    under = under.unionByName(marked.where("is_tip").select("tree_id", F.col("tip_lo").alias("tip"), "label", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("path"), top.alias("size"), top.alias("holds"), least.alias("least")))
     # A tip leaves a path at the node where the next light edge above it begins.
-    leaves = F.lead("holds").over(Window.partitionBy("tree_id", "tip").orderBy(F.desc("size")))
-    under = under.withColumn("reach", F.coalesce(leaves, F.lit(0)))
+    tip = Window.partitionBy("tree_id", "tip")
+    below = under.withColumn("reach", F.coalesce(F.lead("holds").over(tip.orderBy(F.desc("size"))), F.max("least").over(tip)))
     heads = under.select("tree_id", F.col("tip").alias("tip_lo"), "path", F.col("size").alias("head"))
-    own = marked.select("tree_id", "edge_id", "tip_lo", "size").join(heads, ["tree_id", "tip_lo"]).where("head >= size")
+    own = (edges.where("NOT is_tip") if inner else edges).select("tree_id", "edge_id", "tip_lo", size.alias("size")).join(heads, ["tree_id", "tip_lo"]).where("head >= size")
     paths = own.groupBy("tree_id", "edge_id").agg(F.min(F.struct("head", "path")).alias("h"), F.first("size").alias("size")).select("tree_id", "h.path", "edge_id", "size")
-    return paths, under.join(tips, ["tree_id", "tip"]).select("tree_id", "tip", "label", "path", "reach")
+    return paths, below.select("tree_id", "tip", F.max("label").over(tip).alias("label"), "path", "reach")
 
 
 def tip_intervals(pairs: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def problems(links: DataFrame) -> DataFrame:
 
 
 def prune(edges: DataFrame, keep: DataFrame, leave_whole: bool = False) -> DataFrame:
-    """edges of each tree over the tips in keep (tree_id, label), and nothing above their last common
+    """edges of each tree over the tips in keep (tree_id, label; or label, for all trees), and nothing above their last common
     ancestor. Depths and tip numbers start anew; nodes of one child stay. Trees of under two kept tips
     don't come out. leave_whole: trees that keep all tips stay as they are.
 
@@ -161,22 +164,25 @@ def prune(edges: DataFrame, keep: DataFrame, leave_whole: bool = False) -> DataF
     and no tip is paired with the edges above it. Counts run within stretches of STRETCH tips, to which what
     is kept before them is added, so that a tree isn't one task.
     """
-    wanted = keep.select("tree_id", "label").distinct().withColumn("_kept", F.lit(1))
-    tips = edges.where("is_tip").select("tree_id", F.col("tip_lo").alias("tip"), "label").join(wanted, ["tree_id", "label"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(0))).withColumn("_stretch", F.floor(F.col("tip") / STRETCH))
+    on = [c for c in ("tree_id", "label") if c in keep.columns]
+    wanted = keep.select(*on).distinct().withColumn("_kept", F.lit(1))
+    tips = edges.where("is_tip").join(wanted, on, "left").withColumn("_kept", F.coalesce("_kept", F.lit(0))).withColumn("_stretch", F.floor(F.col("tip_lo") / STRETCH))
     sums = tips.groupBy("tree_id", "_stretch").agg(F.sum("_kept").alias("_k"), F.count("*").alias("_n"))
     tree = Window.partitionBy("tree_id")
     earlier = F.sum("_k").over(tree.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("tree_id", "_stretch", F.coalesce(earlier, F.lit(0)).alias("_offset"), F.sum("_k").over(tree).alias("_all"), F.sum("_n").over(tree).alias("_tips"))
-    along = Window.partitionBy("tree_id", "_stretch").orderBy("tip").rowsBetween(Window.unboundedPreceding, 0)
-    counts = tips.join(sums, ["tree_id", "_stretch"]).withColumn("_upto", F.col("_offset") + F.sum("_kept").over(along)).withColumn("_before", F.col("_upto") - F.col("_kept"))
-    lo = counts.select("tree_id", F.col("tip").alias("tip_lo"), F.col("_before").alias("_lo"), "_all", "_tips")
-    hi = counts.select("tree_id", (F.col("tip") + 1).alias("tip_hi"), F.col("_upto").alias("_hi"))
+    along = Window.partitionBy("tree_id", "_stretch").orderBy("tip_lo").rowsBetween(Window.unboundedPreceding, 0)
+    counts = tips.withColumn("_hi", F.sum("_kept").over(along)).join(sums, ["tree_id", "_stretch"]).withColumn("_hi", F.col("_offset") + F.col("_hi")).withColumn("_lo", F.col("_hi") - F.col("_kept")).where("_all >= 2")
+    lo, hi = counts.select("tree_id", "tip_lo", "_lo", "_all", "_tips"), counts.select("tree_id", "tip_hi", "_hi")
     whole = (F.col("_all") == F.col("_tips")) if leave_whole else F.lit(False)
     n = F.col("_hi") - F.col("_lo")
-    own = edges.join(lo, ["tree_id", "tip_lo"]).join(hi, ["tree_id", "tip_hi"]).where((F.col("_all") >= 2) & (n > 0))
+    # A tip's edge has its counts already.
+    inner = edges.where("NOT is_tip").join(lo, ["tree_id", "tip_lo"]).join(hi, ["tree_id", "tip_hi"]).where(n > 0)
     # Edges that hold all kept tips are above their last common ancestor.
-    stems = own.where((n == F.col("_all")) & ~whole).groupBy("tree_id").agg(F.max("d").alias("_stem"))
-    own = own.where((n < F.col("_all")) | whole).join(stems, "tree_id", "left").withColumn("_stem", F.coalesce("_stem", F.lit(0.0)))
+    stems = inner.where((n == F.col("_all")) & ~whole).groupBy("tree_id").agg(F.max("d").alias("_stem"))
+    held = [*edges.columns, "_lo", "_hi"]
+    own = counts.where("_kept = 1").select(*held).unionByName(inner.where((n < F.col("_all")) | whole).select(*held))
+    own = own.join(F.broadcast(stems), "tree_id", "left").withColumn("_stem", F.coalesce("_stem", F.lit(0.0)))
     return own.withColumns({"b": F.col("b") - F.col("_stem"), "d": F.col("d") - F.col("_stem"), "tip_lo": F.col("_lo"), "tip_hi": F.col("_hi")}).select(*edges.columns)
 
 

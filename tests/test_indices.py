@@ -213,3 +213,36 @@ def test_dataset(spark):
     d = simulate.grid_dataset(spark, trees=2, tips=10, side=3)
     assert d["trees"].count() == 2 and d["bounds"].count() == d["coords"].count() == 9
     assert d["adj"].where("focal = 4").count() == 9 and d["presence"].select("species").distinct().count() == 10
+
+
+def test_pool_plans_send_no_edges_through_the_driver(spark, monkeypatch):
+    """A pool of which plans think little, as of few rows of which each makes many."""
+    n = 100_000
+    few = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    name = F.concat(F.lit("x"), F.col("i").cast("string"))
+    pool = few.select(F.lit("t").alias("tree_id"), name.alias("edge_id"), F.lit("root").alias("parent"), name.alias("child"), F.lit(1.0).alias("length"), F.lit(0.0).alias("b"), F.lit(1.0).alias("d"), F.col("i").cast("long").alias("tip_lo"), (F.col("i") + 1).cast("long").alias("tip_hi"), F.lit(True).alias("is_tip"), name.alias("label"))
+    present = spark.range(n).select(F.lit(1).alias("site_id"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("species"))
+    plans = []
+
+    def settle(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(indices, "settle", settle)
+    pruned = indices.align(pool, present)[0]
+    assert "SortMergeJoin [label" in plans[0] and "BroadcastHashJoin [label" not in plans[0]
+    assert pruned.count() == n
+
+
+def test_membership_is_the_closure(spark):
+    """Also where tips hang from nodes of one child, and rows of presence repeat."""
+    ladder = "(" * 20 + "x0:1" + "".join(f",x{k}:{k}):1" for k in range(1, 21)) + ";"
+    texts = [simulate.yule(30, seed=1), ladder, "((((a:1,b:1):1):1,c:3):1);", "((a:1):1,(b:0,e:1,f:1):2,((c:1,d:1):0):1);"]
+    edges = newick.parse_trees(spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)], "tree_id string, newick string"))[0]
+    labels = edges.where("is_tip").select(F.col("label").alias("species")).distinct()
+    present = labels.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("site_id"), "species").where("pmod(xxhash64(site_id, species), 3) = 0 OR site_id = 3")
+    want = trees.closure(edges).join(present.withColumnRenamed("species", "label"), "label").select("tree_id", "site_id", "edge_id").distinct()
+    keyed = edges.where("is_tip").select("tree_id", F.col("label").alias("species")).join(present, "species")
+    for given in (present.union(present), keyed):
+        got = indices.membership(edges, given)
+        assert got.count() == want.count() == got.intersect(want).count()
