@@ -25,7 +25,7 @@ def align(edges: DataFrame, presence: DataFrame) -> tuple[DataFrame, DataFrame,
     counts = marked.groupBy("tree_id").agg(F.count("*").alias("n_tips"), F.count("_hit").alias("n")).join(F.broadcast(n_species))
     actions = (("pruned_tips", F.col("n_tips") - F.col("n")), ("dropped_species", F.col("n_species") - F.col("n")), ("shared", F.col("n")), ("rejected", (F.col("n") < 2).cast("int")))
     report = counts.select("tree_id", F.inline(F.array(*(F.struct(F.lit(a).alias("action"), x.cast("long").alias("n")) for a, x in actions))))
-    pruned = settle(trees.prune(edges, species, leave_whole=True))
+    pruned = settle(trees.prune(edges, settle(trees.kept_tips(edges, species)), leave_whole=True))
     kept = pruned.where("is_tip").select("tree_id", F.col("label").alias("species")).join(presence, "species").select("tree_id", "site_id", "species")
     return pruned, kept, report
 
@@ -51,20 +51,23 @@ def unmatched(edges: DataFrame, presence: DataFrame) -> DataFrame:
 
 def membership(edges: DataFrame, presence: DataFrame) -> DataFrame:
     """tree_id, site_id, edge_id, each once: a site's tips, and above them, how far they reach down each heavy
-    path says which of its edges the site has. Tips of one node are below the same edges, so that one of those
-    that a site has there will do. presence may be keyed by tree_id."""
+    path says which of its edges the site has. Tips of one node are below the same edges, so that one of them will
+    do for all sites. presence may be keyed by tree_id."""
     return members(edges, presence)
 
 
 def members(edges: DataFrame, presence: DataFrame, *more: str) -> DataFrame:
     """membership, with more columns of the edges."""
     on = ["tree_id", "label"] if "tree_id" in presence.columns else ["label"]
-    tips = edges.where("is_tip").select("tree_id", "edge_id", "parent", "label", "tip_lo", *more)
+    tips = edges.where("is_tip").select("tree_id", "edge_id", "parent", "label", *more)
     own = tips.join(presence.select(*on[:-1], "site_id", F.col("species").alias("label")).distinct(), on)
-    paths, below = trees.heavy_paths(edges, inner=True)
-    found = own.groupBy("tree_id", "site_id", "parent").agg(F.min("tip_lo").alias("tip")).join(below.drop("label"), ["tree_id", "tip"])
+    lean = trees.lean(edges)
+    paths, below = trees.heavy_paths(lean, inner=True)
+    nodes = own.select("tree_id", "site_id", "parent").distinct().alias("o")
+    first = lean.where("is_tip").select("tree_id", "parent", F.col("tip_lo").alias("tip")).alias("t")
+    found = nodes.join(first, F.expr("o.tree_id = t.tree_id AND o.parent <=> t.parent")).select("o.tree_id", "site_id", "tip").join(below.drop("label"), ["tree_id", "tip"])
     reached = found.groupBy("tree_id", "site_id", "path").agg(F.min("reach").alias("reach")).alias("r")
-    inner = paths.join(edges.where("NOT is_tip").select("tree_id", "edge_id", *more), ["tree_id", "edge_id"]).alias("p")
+    inner = paths.join(lean.where("NOT is_tip").select("tree_id", "edge_id", *more), ["tree_id", "edge_id"]).alias("p")
     above = reached.join(inner, F.expr("r.tree_id = p.tree_id AND r.path <=> p.path AND p.size >= r.reach")).select("r.tree_id", "r.site_id", "p.edge_id", *more)
     return own.select("tree_id", "site_id", "edge_id", *more).unionByName(above)
 

@@ -14,7 +14,7 @@ from stratabranch.session import settle
 
 #: Spread of tip depths, relative to the largest, up to which a tree is ultrametric.
 SPREAD = 1e-8
-#: Tips that a running count goes over in one task.
+#: Places along a tree that a running count goes over in one task.
 STRETCH = 4_096
 
 
@@ -156,34 +156,68 @@ def problems(links: DataFrame) -> DataFrame:
 
 
 def prune(edges: DataFrame, keep: DataFrame, leave_whole: bool = False) -> DataFrame:
-    """edges of each tree over the tips in keep (tree_id, label; or label, for all trees), and nothing above their last common
-    ancestor. Depths and tip numbers start anew; nodes of one child stay. Trees of under two kept tips
+    """edges of each tree over the tips in keep (tree_id, label; or label, for all trees; or what kept_tips has of
+    them, which is read several times), and nothing above their last common ancestor. Depths and tip numbers start anew; nodes of one child stay. Trees of under two kept tips
     don't come out. leave_whole: trees that keep all tips stay as they are.
 
     Kept tips are counted along the tree, so an edge's count is a difference of two running counts,
-    and no tip is paired with the edges above it. Counts run within stretches of STRETCH tips, to which what
-    is kept before them is added, so that a tree isn't one task.
+    and no tip is paired with the edges above it. Only tips' numbers go through the join with keep.
     """
-    on = [c for c in ("tree_id", "label") if c in keep.columns]
-    wanted = keep.select(*on).distinct().withColumn("_kept", F.lit(1))
-    tips = edges.where("is_tip").join(wanted, on, "left").withColumn("_kept", F.coalesce("_kept", F.lit(0))).withColumn("_stretch", F.floor(F.col("tip_lo") / STRETCH))
-    sums = tips.groupBy("tree_id", "_stretch").agg(F.sum("_kept").alias("_k"), F.count("*").alias("_n"))
-    tree = Window.partitionBy("tree_id")
-    earlier = F.sum("_k").over(tree.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("tree_id", "_stretch", F.coalesce(earlier, F.lit(0)).alias("_offset"), F.sum("_k").over(tree).alias("_all"), F.sum("_n").over(tree).alias("_tips"))
-    along = Window.partitionBy("tree_id", "_stretch").orderBy("tip_lo").rowsBetween(Window.unboundedPreceding, 0)
-    counts = tips.withColumn("_hi", F.sum("_kept").over(along)).join(sums, ["tree_id", "_stretch"]).withColumn("_hi", F.col("_offset") + F.col("_hi")).withColumn("_lo", F.col("_hi") - F.col("_kept")).where("_all >= 2")
-    lo, hi = counts.select("tree_id", "tip_lo", "_lo", "_all", "_tips"), counts.select("tree_id", "tip_hi", "_hi")
+    tips, inner = edges.where("is_tip"), edges.where("NOT is_tip")
+    kept = (keep if "tip_lo" in keep.columns else settle(kept_tips(edges, keep))).withColumnRenamed("tip_lo", "_at")
+    sizes = tips.groupBy("tree_id").agg(F.count("*").alias("_tips"))
+    edge = F.struct(*edges.columns).alias("_edge")
+    own = _counted(tips.select("tree_id", F.col("tip_lo").alias("_at"), F.lit(2).alias("_turn"), edge), kept, sizes).where("_here")
+    own = own.select("_edge", (F.col("_n") - 1).alias("_lo"), F.col("_n").alias("_hi"), "_all", "_tips")
+    held = _spans(inner.select("tree_id", "tip_lo", "tip_hi", edge), kept, sizes).where("_hi > _lo")
     whole = (F.col("_all") == F.col("_tips")) if leave_whole else F.lit(False)
-    n = F.col("_hi") - F.col("_lo")
-    # A tip's edge has its counts already.
-    inner = edges.where("NOT is_tip").join(lo, ["tree_id", "tip_lo"]).join(hi, ["tree_id", "tip_hi"]).where(n > 0)
     # Edges that hold all kept tips are above their last common ancestor.
-    stems = inner.where((n == F.col("_all")) & ~whole).groupBy("tree_id").agg(F.max("d").alias("_stem"))
-    held = [*edges.columns, "_lo", "_hi"]
-    own = counts.where("_kept = 1").select(*held).unionByName(inner.where((n < F.col("_all")) | whole).select(*held))
-    own = own.join(F.broadcast(stems), "tree_id", "left").withColumn("_stem", F.coalesce("_stem", F.lit(0.0)))
-    return own.withColumns({"b": F.col("b") - F.col("_stem"), "d": F.col("d") - F.col("_stem"), "tip_lo": F.col("_lo"), "tip_hi": F.col("_hi")}).select(*edges.columns)
+    stem = (F.col("_hi") - F.col("_lo") == F.col("_all")) & ~whole
+    stems = held.where(stem).groupBy(F.col("_edge.tree_id").alias("tree_id")).agg(F.max("_edge.d").alias("_stem"))
+    left = own.unionByName(held.where(~stem)).where("_all >= 2").select("_edge.*", "_lo", "_hi")
+    left = left.join(F.broadcast(stems), "tree_id", "left").withColumn("_stem", F.coalesce("_stem", F.lit(0.0)))
+    return left.withColumns({"b": F.col("b") - F.col("_stem"), "d": F.col("d") - F.col("_stem"), "tip_lo": F.col("_lo"), "tip_hi": F.col("_hi")}).select(*edges.columns)
+
+
+def kept_tips(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """tree_id, tip_lo of the tips in keep (tree_id, label; or label, for all trees)."""
+    on = [c for c in ("tree_id", "label") if c in keep.columns]
+    return edges.where("is_tip").select("tree_id", "label", "tip_lo").join(keep.select(*on).distinct(), on, "left_semi").select("tree_id", "tip_lo")
+
+
+def _counted(rows: DataFrame, marks: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """rows (tree_id, _at, _turn and others) with _n, how many marks (tree_id, _at, each once) of their tree stand
+    before them, _here, whether one stands just before, and _all, how many there are. A mark's turn at its place is 1.
+    more: other columns of trees. Counts run within stretches of STRETCH places, to which what
+    stands before them is added, so that a tree isn't one task.
+    """
+    both = rows.withColumn("_mark", F.lit(0)).unionByName(marks.select("tree_id", "_at", F.lit(1).alias("_turn"), F.lit(1).alias("_mark")), allowMissingColumns=True).withColumn("_stretch", F.floor(F.col("_at") / STRETCH))
+    tree, sums = Window.partitionBy("tree_id"), both.groupBy("tree_id", "_stretch").agg(F.sum("_mark").alias("_k"))
+    earlier = F.sum("_k").over(tree.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("tree_id", "_stretch", F.coalesce(earlier, F.lit(0)).alias("_offset"), F.sum("_k").over(tree).alias("_all"))
+    sums = sums if more is None else sums.join(more, "tree_id")
+    along = Window.partitionBy("tree_id", "_stretch").orderBy("_at", "_turn")
+    counts = both.withColumn("_n", F.sum("_mark").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_here", F.coalesce(F.lag("_mark").over(along) == 1, F.lit(False)))
+    return counts.where("_mark = 0").join(sums, ["tree_id", "_stretch"]).withColumn("_n", F.col("_offset") + F.col("_n")).drop("_mark", "_stretch", "_offset")
+
+
+def _spans(rows: DataFrame, marks: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """_edge, _lo, _hi, _all (and more) of rows (tree_id, tip_lo, tip_hi, _edge): how many marks stand before the first
+    and up to the last of its tips."""
+    ends = F.array(F.struct(F.col("tip_lo").alias("_at"), F.lit(0).alias("_turn")), F.struct((F.col("tip_hi") - 1).alias("_at"), F.lit(3).alias("_turn")))
+    found = _counted(rows.select("tree_id", "_edge", F.inline(ends)), marks, more)
+    extra = [] if more is None else [c for c in more.columns if c != "tree_id"]
+    return found.groupBy("tree_id", F.col("_edge.edge_id").alias("_id")).agg(F.first("_edge").alias("_edge"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), *(F.first(c).alias(c) for c in ("_all", *extra))).drop("tree_id", "_id")
+
+
+def lean(edges: DataFrame) -> DataFrame:
+    """The inner edges, and of the tips of each node only the first, numbered anew, with nothing but its parent.
+    All tips of a node are below the same edges, so that this is enough to tell which. Checkpointed."""
+    first = edges.where("is_tip").groupBy("tree_id", "parent").agg(F.min("tip_lo").alias("_at"))
+    spans = _spans(edges.where("NOT is_tip").select("tree_id", "tip_lo", "tip_hi", F.struct(*edges.columns).alias("_edge")), first.drop("parent"))
+    inner = spans.select("_edge.*", "_lo", "_hi").withColumns({"tip_lo": F.col("_lo"), "tip_hi": F.col("_hi")}).select(*edges.columns)
+    tips = _counted(first.withColumn("_turn", F.lit(2)), first.drop("parent")).select("tree_id", "parent", (F.col("_n") - 1).alias("tip_lo"), F.col("_n").alias("tip_hi"), F.lit(True).alias("is_tip"))
+    return settle(inner.unionByName(tips, allowMissingColumns=True))
 
 
 def collapse(edges: DataFrame, by: tuple[str, ...] = ("tree_id",)) -> DataFrame:

@@ -246,3 +246,21 @@ def test_membership_is_the_closure(spark):
     for given in (present.union(present), keyed):
         got = indices.membership(edges, given)
         assert got.count() == want.count() == got.intersect(want).count()
+
+
+def test_a_pool_goes_once_through_its_joins(spark, monkeypatch):
+    """Only tips' numbers meet species, and of the tips of a node, one is enough to tell which edges are above."""
+    text = "((" + ",".join(f"a{k}:1" for k in range(40)) + "):1,(" + ",".join(f"b{k}:1" for k in range(40)) + ",(d:0.5,e:0.5):0.5):1,c:2);"
+    pool = newick.parse_trees(spark.createDataFrame([("t", text), ("u", text)], "tree_id string, newick string"))[0].localCheckpoint()
+    present = pool.where("tree_id = 't' AND is_tip AND label NOT IN ('a0', 'e')").select(F.pmod("tip_lo", F.lit(3)).alias("site_id"), F.col("label").alias("species")).localCheckpoint()
+    settled, walked = [], []
+    settle, heavy_paths = indices.settle, trees.heavy_paths
+    monkeypatch.setattr(indices, "settle", lambda df: settled.append(df.columns) or settle(df))
+    monkeypatch.setattr(trees, "heavy_paths", lambda e, **k: walked.append(e) or heavy_paths(e, **k))
+    pruned = indices.align(pool, present)[0]
+    assert settled[0] == ["tree_id", "tip_lo"]
+    assert pruned.where("is_tip").count() == 2 * 81
+    got = indices.membership(pruned, present)
+    assert walked[0].count() == 2 * (3 + 4)  # inner edges, and nodes that have tips
+    want = trees.closure(pruned).join(present.withColumnRenamed("species", "label"), "label").select("tree_id", "site_id", "edge_id").distinct()
+    assert got.count() == want.count() == got.intersect(want).count()
